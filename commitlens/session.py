@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Column expressions need no call site each; recording one costs several driver round trips.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.schema import CHARGE_COLUMNS, COST, QUANTITY
+from commitlens.schema import CHARGE_COLUMNS
 
 FIRST_DAY = "2025-02-15"
 AS_OF = "2026-03-16"
@@ -69,78 +69,72 @@ def sku_catalog(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {sku_catalog_values()} AS sku({_CATALOG_COLUMNS})")
 
 
+# Columns read from each source table.
+_TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+# What the rules below refer to: the day, and the buckets that pick commitment and category.
+_DERIVED = {
+    "d": "cast((l_orderkey * 7 + l_partkey * 3 + l_linenumber * 13) % 400 as int)",
+    "k": "(l_orderkey + l_suppkey * 3) % 10",
+    "plan": "l_suppkey % 7",
+    "kind": "(l_linenumber + l_suppkey) % 11",
+    "listed": "cast(cast(l_extendedprice as decimal(12,2)) * mult as decimal(18,6))",
+    "day0": f"cast(date '{FIRST_DAY}' as timestamp_ntz)",
+}
+
+_RULES = {
+    "ProviderName": "if(l_suppkey % 8 = 0, 'Marketplace', 'Microsoft')",
+    "ServiceCategory": "category",
+    "ServiceName": "service",
+    "RegionId": "if(s_nationkey <> 24, lower(n_name), null)",
+    "RegionName": "if(s_nationkey <> 24, n_name, null)",
+    "ListCost": "listed",
+    "ContractedCost": "cast(listed * (1 - cast(l_tax as decimal(4,2))) as decimal(18,6))",
+    "EffectiveCost": "cast(listed * (1 - cast(l_discount as decimal(4,2)))"
+    " * if(k <= 2, 0.6, 1.0) as decimal(18,6))",
+    "PricingQuantity": "cast(l_quantity as decimal(18,2))",
+    "CommitmentDiscountId": "if(k <= 2, 'cd-' || plan, null)",
+    "CommitmentDiscountName": "if(k <= 1, 'Commit ' || plan, null)",
+    "CommitmentDiscountType": "if(k <= 2, if(plan % 2 = 0, 'Reservation', 'Savings Plan'), null)",
+    "ResourceId": "if(o_custkey % 50 <> 0, 'res-' || o_custkey % 500, null)",
+    "ChargeCategory": "case kind when 0 then 'Purchase' when 1 then 'Tax' else 'Usage' end",
+    "ChargeClass": "case when l_returnflag = 'R' and l_linenumber = 1 then 'Correction'"
+    " when l_returnflag = 'A' then 'Regular' end",
+    "ChargePeriodStart": "day0 + make_dt_interval(d, if(l_linenumber % 2 = 1, 6, 0))",
+    "ChargePeriodEnd": "day0 + make_dt_interval(d + 1)",
+    "PricingCategory": "case when k <= 1 then 'Committed' when k = 3 then null"
+    " when k = 4 then 'Dynamic' else 'Standard' end",
+    "ChargeDescription": "text",
+    "SkuId": "'SKU-' || ix",
+    "SkuPriceId": "'SKU-' || ix || '-' || l_suppkey % 3",
+    "x_SkuDescription": "text",
+    "x_SkuMeterCategory": "meter",
+    "x_SkuMeterSubcategory": "submeter",
+}
+
+
 def fixture_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charges derived from the lineitem, orders, supplier and nation tables under ``sf_dir``."""
-
-    def table(name: str, *columns: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-
-    lines = table(
-        "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
-    )
-    orders = table("orders", "o_orderkey", "o_custkey")
-    suppliers = table("supplier", "s_suppkey", "s_nationkey")
-    nations = table("nation", "n_nationkey", "n_name")
-    joined = (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
-        .join(nations, suppliers.s_nationkey == nations.n_nationkey)
+    """Charges derived from the lineitem, orders, supplier and nation tables under ``sf_dir``.
+
+    How each table is joined is left to its statistics: small ones are broadcast, large ones
+    shuffled on the key.
+    """
+    lines, orders, suppliers, nations = (
+        spark.read.schema(columns).parquet(f"{sf_dir}/{name}.parquet")
+        for name, columns in _TABLES.items()
+    )
+    return (
+        lines.join(orders, F.expr("l_orderkey = o_orderkey"))
+        .join(suppliers, F.expr("l_suppkey = s_suppkey"))
+        .join(nations, F.expr("s_nationkey = n_nationkey"))
         .join(sku_catalog(spark), F.expr("l_partkey % 32 = ix"))
+        .selectExpr("*", *[f"{rule} as {name}" for name, rule in _DERIVED.items()])
+        .selectExpr(*[f"{_RULES[name]} as {name}" for name in CHARGE_COLUMNS])
     )
-    return joined.select(*_charge_columns()).select(*CHARGE_COLUMNS)
-
-
-def _charge_columns():
-    day = F.expr("(l_orderkey * 7 + l_partkey * 3 + l_linenumber * 13) % 400").cast("int")
-    bucket = F.expr("(l_orderkey + l_suppkey * 3) % 10")
-    plan = F.expr("l_suppkey % 7")
-    kind = F.expr("(l_linenumber + l_suppkey) % 11")
-    start = F.lit(FIRST_DAY).cast("timestamp_ntz")
-    hours = F.expr("if(l_linenumber % 2 = 1, 6, 0)")
-    named_region = F.col("s_nationkey") != 24
-
-    listed = (F.col("l_extendedprice").cast("decimal(12,2)") * F.col("mult")).cast(COST)
-    tax = F.col("l_tax").cast("decimal(4,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    rate = F.when(bucket <= 2, F.expr("0.6BD")).otherwise(F.expr("1.0BD"))
-
-    columns = {
-        "ProviderName": F.when(F.expr("l_suppkey % 8 = 0"), "Marketplace").otherwise("Microsoft"),
-        "ServiceCategory": F.col("category"),
-        "ServiceName": F.col("service"),
-        "RegionId": F.when(named_region, F.lower("n_name")),
-        "RegionName": F.when(named_region, F.col("n_name")),
-        "ListCost": listed,
-        "ContractedCost": (listed * (1 - tax)).cast(COST),
-        "EffectiveCost": (listed * (1 - discount) * rate).cast(COST),
-        "PricingQuantity": F.col("l_quantity").cast(QUANTITY),
-        "CommitmentDiscountId": F.when(bucket <= 2, F.concat(F.lit("cd-"), plan.cast("string"))),
-        "CommitmentDiscountName": F.when(bucket <= 1, F.concat(F.lit("Commit "), plan.cast("string"))),
-        "CommitmentDiscountType": F.when(
-            bucket <= 2, F.when(plan % 2 == 0, "Reservation").otherwise("Savings Plan")
-        ),
-        "PricingCategory": F.when(bucket <= 1, "Committed")
-        .when(bucket == 3, None)
-        .when(bucket == 4, "Dynamic")
-        .otherwise("Standard"),
-        "ResourceId": F.when(
-            F.expr("o_custkey % 50 <> 0"),
-            F.concat(F.lit("res-"), F.expr("cast(o_custkey % 500 as string)")),
-        ),
-        "ChargeCategory": F.when(kind == 0, "Purchase").when(kind == 1, "Tax").otherwise("Usage"),
-        "ChargeClass": F.when(F.expr("l_returnflag = 'R' and l_linenumber = 1"), "Correction").when(
-            F.col("l_returnflag") == "A", "Regular"
-        ),
-        "ChargePeriodStart": start + F.make_dt_interval(day, hours),
-        "ChargePeriodEnd": start + F.make_dt_interval(day + 1),
-        "ChargeDescription": F.col("text"),
-        "SkuId": F.concat(F.lit("SKU-"), F.col("ix").cast("string")),
-        "SkuPriceId": F.concat_ws(
-            "-", F.lit("SKU"), F.col("ix").cast("string"), F.expr("cast(l_suppkey % 3 as string)")
-        ),
-        "x_SkuDescription": F.col("text"),
-        "x_SkuMeterCategory": F.col("meter"),
-        "x_SkuMeterSubcategory": F.col("submeter"),
-    }
-    return [column.alias(name) for name, column in columns.items()]
