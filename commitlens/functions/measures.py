@@ -36,17 +36,26 @@ def is_committed() -> Column:
     return F.coalesce(F.col("PricingCategory") == "Committed", F.lit(False))
 
 
+def is_unnamed() -> Column:
+    """Not under a named commitment."""
+    return F.col("CommitmentDiscountName").isNull()
+
+
+def sum_where(condition: Column, measure: str) -> Column:
+    """Sum over the rows where ``condition`` holds, 0 where it holds for none."""
+    return F.sum(F.when(condition, F.col(measure)).otherwise(0))
+
+
 def covered_by_pricing(measure: str) -> Column:
-    return F.sum(F.when(is_committed(), F.col(measure)).otherwise(0))
+    return sum_where(is_committed(), measure)
 
 
 def uncovered_by_pricing(measure: str) -> Column:
-    return F.sum(F.when(is_committed(), 0).otherwise(F.col(measure)))
+    return sum_where(~is_committed(), measure)
 
 
 def uncovered_by_name(measure: str) -> Column:
-    unnamed = F.col("CommitmentDiscountName").isNull()
-    return F.sum(F.when(unnamed, F.col(measure)).otherwise(0))
+    return sum_where(is_unnamed(), measure)
 
 
 # Rates over group totals.

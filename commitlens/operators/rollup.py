@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions.measures import (
-    covered_by_pricing,
     double,
     is_committed,
+    is_unnamed,
     mean,
-    uncovered_by_name,
-    uncovered_by_pricing,
+    sum_where,
     usage_day,
 )
 
@@ -24,11 +23,18 @@ DAILY_MEASURES = {"effective": "EffectiveCost", "list": "ListCost", "contracted"
 def daily_rollup(charges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per day with charges (and ``keys``): total and uncovered sums of each cost.
 
-    A day without a charge has no row.
+    A day without a charge has no row. The two sides are told apart as a group of the first step,
+    so that a charge is added to one exact sum per cost and not to two; the second step sees two
+    rows per day.
     """
-    return charges.groupBy(*keys, usage_day().alias("usage_day")).agg(
-        *[F.sum(m).alias(f"daily_total_{name}") for name, m in DAILY_MEASURES.items()],
-        *[uncovered_by_name(m).alias(f"daily_uncovered_{name}") for name, m in DAILY_MEASURES.items()],
+    by_side = charges.groupBy(*keys, usage_day().alias("usage_day"), is_unnamed().alias("uncovered"))
+    sums = by_side.agg(*[F.sum(m).alias(name) for name, m in DAILY_MEASURES.items()])
+    return sums.groupBy(*keys, "usage_day").agg(
+        *[F.sum(name).alias(f"daily_total_{name}") for name in DAILY_MEASURES],
+        *[
+            sum_where(F.col("uncovered"), name).alias(f"daily_uncovered_{name}")
+            for name in DAILY_MEASURES
+        ],
     )
 
 
@@ -39,24 +45,22 @@ def coverage_rollup(charges: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``UncoveredResources`` and ``Resources`` exact distinct counts of ``ResourceId``.
 
     Counting one id under several conditions with ``countDistinct`` would copy every charge once
-    per condition. Grouping by the id first and marking on which sides it was seen needs no copy,
-    and a group that holds a large part of the table is spread over its resources. Charges without
-    a resource form one row of that step: their costs count, a resource does not.
+    per condition. Grouping by id and side first needs no copy, adds a charge to one exact sum per
+    cost, and spreads a group that holds a large part of the table over its resources. Charges
+    without a resource form rows of their own in that step: their costs count, a resource does not.
     """
     costs = ("EffectiveCost", "ListCost")
-    per_resource = charges.groupBy(*keys, "ResourceId").agg(
-        *[F.sum(c).alias(c) for c in costs],
-        *[covered_by_pricing(c).alias(f"Covered{c}") for c in costs],
-        *[uncovered_by_pricing(c).alias(f"Uncovered{c}") for c in costs],
-        F.max(is_committed()).alias("seen_covered"),
-        F.max(~is_committed()).alias("seen_uncovered"),
+    committed, resource = F.col("committed"), F.col("ResourceId")
+    per_resource = charges.groupBy(*keys, "ResourceId", is_committed().alias("committed")).agg(
+        *[F.sum(c).alias(c) for c in costs]
     )
-    sums = [f"{side}{c}" for side in ("", "Covered", "Uncovered") for c in costs]
     return per_resource.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        F.count(F.when(F.col("seen_covered"), F.col("ResourceId"))).alias("CoveredResources"),
-        F.count(F.when(F.col("seen_uncovered"), F.col("ResourceId"))).alias("UncoveredResources"),
-        F.count("ResourceId").alias("Resources"),
+        *[F.sum(c).alias(c) for c in costs],
+        *[sum_where(committed, c).alias(f"Covered{c}") for c in costs],
+        *[sum_where(~committed, c).alias(f"Uncovered{c}") for c in costs],
+        F.count(F.when(committed, resource)).alias("CoveredResources"),
+        F.count(F.when(~committed, resource)).alias("UncoveredResources"),
+        F.countDistinct(resource).alias("Resources"),
     )
 
 

@@ -10,12 +10,10 @@ from commitlens.functions.measures import (
     DAYS_PER_YEAR,
     HOURS_PER_DAY,
     HOURS_PER_YEAR,
-    active_days,
     double,
     mean,
     percent,
     scenario,
-    uncovered_by_name,
 )
 from commitlens.functions.storage import storage_capacity_class
 from commitlens.operators.eligibility import compute_services, sku_prefix_eligible
@@ -83,23 +81,17 @@ def sizing_validation(charges: DataFrame, window: ChargeWindow = SINCE_OCTOBER)
     The scope is by service and not by SKU and the window is shorter than in the sizing report,
     so the two need not agree.
     """
-    groups = (
-        usage_in(charges, window)
-        .transform(compute_services)
-        .agg(
-            active_days().alias("days"),
-            *totals("EffectiveCost"),
-            uncovered_by_name("EffectiveCost").alias("uncovered"),
-        )
-    )
-    return project(groups, [], {
+    total, uncovered = "daily_total_effective", "daily_uncovered_effective"
+    daily = usage_in(charges, window).transform(compute_services).transform(daily_rollup)
+    sums = daily.agg(F.count("usage_day").alias("days"), *totals(total, uncovered))
+    return project(sums, [], {
         "TotalDays": "days",
-        "Total_EffectiveCost": double("EffectiveCost"),
-        "Total_AvgDaily": mean("EffectiveCost", "days"),
-        "Total_AvgHourly": _hourly(mean("EffectiveCost", "days")),
-        "Uncovered_EffectiveCost": double("uncovered"),
-        "Uncovered_AvgDaily": mean("uncovered", "days"),
-        "Uncovered_AvgHourly": _hourly(mean("uncovered", "days")),
+        "Total_EffectiveCost": double(total),
+        "Total_AvgDaily": mean(total, "days"),
+        "Total_AvgHourly": _hourly(mean(total, "days")),
+        "Uncovered_EffectiveCost": double(uncovered),
+        "Uncovered_AvgDaily": mean(uncovered, "days"),
+        "Uncovered_AvgHourly": _hourly(mean(uncovered, "days")),
     })
 
 

@@ -42,12 +42,12 @@ def same(left, right) -> bool:
 
 
 def differences(spark_df, connection, sql: str) -> list[str]:
-    """Why the two results differ; empty when they agree."""
+    """Why the two results differ, or that they are empty; nothing when they agree on some rows."""
     names, rows = sorted_rows(spark_df.columns, map(tuple, spark_df.collect()))
     oracle_names, expected = sorted_rows(*oracle_rows(connection, sql))
     if names != oracle_names:
         return [f"columns {names} against {oracle_names}"]
-    if len(rows) != len(expected):
+    if not rows or len(rows) != len(expected):
         return [f"{len(rows)} rows against {len(expected)}"]
     return [
         f"row {i}, {name}: {a!r} against {b!r}"
