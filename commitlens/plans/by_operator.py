@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from commitlens.functions import measures as m
 from commitlens.functions.storage import storage_capacity_class
 from commitlens.operators import eligibility, rollup, scope
-from commitlens.plans.common import SERVICE, project, totals
-from commitlens.plans.sizing import PLAN_PERCENTS, commitment_sizing
+from commitlens.operators.grouping import project, totals
+from commitlens.operators.sizing import PLAN_PERCENTS, commitment_sizing
+from commitlens.plans.common import SERVICE
 from commitlens.sources.fixture import AS_OF
 
 COSTS = ("ListCost", "EffectiveCost", "ContractedCost")

@@ -17,6 +17,7 @@ from commitlens.functions.measures import (
     savings_rate,
     usage_day,
 )
+from commitlens.operators.grouping import distinct, project, totals
 from commitlens.operators.scope import (
     ChargeWindow,
     charge_window,
@@ -25,7 +26,7 @@ from commitlens.operators.scope import (
     under_commitment,
     usage_scope,
 )
-from commitlens.plans.common import COMMITMENT, SERVICE, distinct, project, totals, usage_in
+from commitlens.plans.common import COMMITMENT, SERVICE, usage_in
 
 SINCE_OCTOBER = since("2025-10-01")
 

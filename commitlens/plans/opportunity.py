@@ -15,8 +15,9 @@ from commitlens.functions.measures import (
     scenario,
 )
 from commitlens.operators.eligibility import eligible_services
+from commitlens.operators.grouping import project, totals
 from commitlens.operators.scope import ChargeWindow, since, without_commitment
-from commitlens.plans.common import SERVICE, project, totals, usage_in
+from commitlens.plans.common import SERVICE, usage_in
 
 SINCE_OCTOBER = since("2025-10-01")
 

@@ -12,9 +12,10 @@ from commitlens.functions.measures import (
     savings,
     savings_rate,
 )
+from commitlens.operators.grouping import distinct, project, totals
 from commitlens.operators.rollup import share_of_total
 from commitlens.operators.scope import ChargeWindow, last_days
-from commitlens.plans.common import SERVICE, distinct, project, totals, usage_in
+from commitlens.plans.common import SERVICE, usage_in
 
 
 def service_savings(charges: DataFrame, window: ChargeWindow = last_days(30)) -> DataFrame:

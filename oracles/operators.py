@@ -3,24 +3,24 @@
 from oracles.fixture import with_focus
 from oracles.reports import (
     CAPACITY,
+    COMMITTED,
     COMPUTE,
     DAY,
     ELIGIBLE,
     LAST_30,
     NOT_COMMITTED,
     PLAN_SKU,
+    SAVED,
+    SAVED_PCT,
     SERVICE,
+    SPLIT,
     STORAGE,
     USAGE,
+    E,
     daily_sums,
     grouped,
     share,
     sizing,
-    COMMITTED,
-    E,
-    SAVED,
-    SAVED_PCT,
-    SPLIT,
 )
 
 COST = "CAST(EffectiveCost AS DOUBLE) AS EffectiveCost"

@@ -10,6 +10,7 @@ from commitlens import catalogs
 from commitlens.functions import measures as m
 from commitlens.functions.storage import storage_capacity_class
 from commitlens.operators import eligibility, rollup, scope
+from commitlens.operators.sizing import commitment_sizing
 from commitlens.plans import commitments, opportunity, sizing
 
 
@@ -362,7 +363,7 @@ def test_percentiles_are_observed_days(spark, costs, expected):
 
 
 def test_commitment_sizing(spark):
-    found = one(sizing.commitment_sizing(distribution(spend(spark, 24, 48, 72, 96))))
+    found = one(commitment_sizing(distribution(spend(spark, 24, 48, 72, 96))))
     assert found["TotalDays"] == 4
     assert found["Total_P50_Daily"] == 48.0 and found["Total_P50_Hourly"] == 2.0
     assert found["Total_P50_AnnualCommitment"] == 2.0 * 8760
