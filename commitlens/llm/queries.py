@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import lines, mixing, packing, postings, simhash, tokenfiles, tokens, topk, warc
+from commitlens.llm import lines, mixing, packing, postings, quality, simhash, tokenfiles, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,10 @@ def op8_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality", "accepted")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op7_warc": op7_warc,
     "op8_posting_lists": op8_posting_lists,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 

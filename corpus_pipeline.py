@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from commitlens.llm import lines, mixing, simhash
+from commitlens.llm import lines, mixing, packing, quality, simhash, tokens
+from commitlens.llm.common import stored
+from commitlens.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.classify(docs).filter("accepted").select(*docs.columns)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds."""
     return lines.line_dedup(docs).select(*docs.columns)
@@ -26,19 +34,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of all documents in sequences of at most 2048."""
+    pieces = tokens.token_pieces(docs, VOCABULARY, length=2048)
+    return packing.pack(pieces.select("*", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
     ("line dedup", drop_lines),
     ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
-# A trained classifier's decisions and MD5-ordered fingerprints have no SQL form.
+# SQL has no trained classifier, XXH64 fingerprints or token ids.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's documents are written to the shared folder and read by the next."""
-    from commitlens.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
