@@ -156,19 +156,20 @@ class Model:
 def accuracies(counts: dict[int, int], rounds: int = 100) -> tuple[float, np.ndarray, dict[int, float]]:
     """Expectation-maximisation over how many documents cast each pattern of votes.
 
-    Given a document's class, labellers vote independently, each with its own probabilities. It gives the prior, the probabilities and each pattern's posterior.
+    Given a document's class, labellers vote independently, each with its own probabilities; a vote that
+    isn't cast says nothing. It gives the prior, the probabilities and each pattern's posterior.
     """
     patterns = np.array(sorted(counts), np.int64)
     weight = np.array([counts[p] for p in patterns.tolist()], float)
     cast = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     # To begin with, a document with any bad vote is bad: a defect shows in few labellers.
     posterior = np.where((cast == BAD_VOTE).any(1), 0.02, 0.98)
-    one_hot = cast[:, :, None] == np.arange(3)
-    prior, table = 0.5, np.full((2, len(LABELLERS), 3), 1 / 3)
+    one_hot = cast[:, :, None] == np.arange(2)
+    prior, table = 0.5, np.full((2, len(LABELLERS), 2), 0.5)
     for _ in range(rounds):
         sums = np.stack([(w[:, None, None] * one_hot).sum(0) for w in (weight * (1 - posterior), weight * posterior)])
         # A labeller is taken to be right more often than wrong: two extra right votes for each class.
-        extra = np.full((2, 1, 3), 0.5)
+        extra = np.full((2, 1, 2), 0.5)
         extra[BAD, :, BAD_VOTE] += 2
         extra[GOOD, :, GOOD_VOTE] += 2
         table = (sums + extra) / (sums + extra).sum(axis=2, keepdims=True)
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
     tallied = texts.select("text").mapInArrow(tally, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     counts = {r["pattern"]: r["n"] for r in tallied.collect()}
     if not counts:
-        return Model(0.5, np.full((2, len(LABELLERS), 3), 1 / 3), np.zeros(SLOTS), 0.0, 0)
+        return Model(0.5, np.full((2, len(LABELLERS), 2), 0.5), np.zeros(SLOTS), 0.0, 0)
     prior, table, posterior = accuracies(counts)
     share = min(1.0, sample_rows / sum(counts.values()))
     drawn = texts.filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text")
