@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import lines, mixing, packing, postings, quality, simhash, tokenfiles, tokens, topk, warc
+from commitlens.llm import contextmix, lines, mixing, packing, postings, quality, simhash, tokenfiles, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024.0)
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = contextmix.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, sf_dir, "pages"), with_payload=False, least_bytes=1000)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_context_mixing": op6_context_mixing,
     "op7_warc": op7_warc,
     "op8_posting_lists": op8_posting_lists,
     "op9_quality": op9_quality,
