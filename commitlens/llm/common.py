@@ -44,14 +44,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores in front until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. Pure ASCII, the common case, takes the faster function."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -112,22 +112,27 @@ def line_dedup(
         index.add(batch if high is None else batch.filter(F.col("holder") <= high))
     kept = index.holders()
     dropped = keys.join(kept.hint("merge"), "key").filter(keys["holder"] != kept["holder"])
-    by_text = dropped.groupBy(keys["holder"].alias("_holder"), F.col("version").alias("_version")).agg(
-        F.collect_set("pos").alias("_gone")
-    )
     # Repeated rows repeat their positions, hence the set: at most one entry a line of the text.
-    holder = F.coalesce(F.col(id_col), F.lit(LAST))
+    by_text = dropped.groupBy(keys["holder"].alias("in_holder"), F.col("version").alias("in_version")).agg(
+        F.collect_set("pos").alias("gone")
+    )
+    # The row travels as one column, so that its names can't clash with those used here.
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(by_text, (holder == F.col("_holder")) & (F.xxhash64(text_col) == F.col("_version")), "left")
-    lines = joined.select(*own, "_gone", split_lines(F.col(text_col)).alias("_lines"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
+    rows = docs.select(
+        F.struct(*own).alias("row"),
+        F.coalesce(F.col(id_col), F.lit(LAST)).alias("holder"),
+        F.xxhash64(text_col).alias("version"),
     )
+    joined = rows.join(by_text, (F.col("holder") == F.col("in_holder")) & (F.col("version") == F.col("in_version")), "left")
+    old = F.col("row").getField(text_col)
+    lines = joined.select("row", "gone", split_lines(old).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    joint = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("gone").isNull(), old).otherwise(joint)
     out = lines.select(
-        *[text.alias(c) if c == text_col else c for c in own],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in own],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
     if "n_chars" in own:
         changed = F.when(F.col("n_dropped") > 0, F.char_length(text_col).cast(docs.schema["n_chars"].dataType))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import free_name, running_before, stored, word_count
+from commitlens.llm.common import running_before, stored, word_count
 
 # Points of the schedule: multiples of the golden ratio's fraction, in 2**-40, modulo 1.
 POINT_BITS = 40
@@ -190,10 +190,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = placed.groupBy(F.col("doc_id").alias("_id2"), F.col("source").alias("_src2"), F.col("version").alias("_version2")).agg(F.count("*").alias("_rows"))
     alike = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in key]
     counts = counts.join(rows, alike).select(*key, "_times", "_rows")
-    mine = [F.col(id_col).eqNullSafe(F.col("_id")), F.col(source_col).eqNullSafe(F.col("_src")), F.xxhash64(text_col) == F.col("_version")]
-    nth = free_name(docs, "nth")
-    joined = docs.join(counts, mine)
-    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    copies = F.expr("_times div _rows") + (F.col(nth) <= F.expr("_times % _rows")).cast("long")
-    dealt = joined.withColumn(nth, copies).filter(F.col(nth) > 0)
-    return dealt.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(nth)))).select(*docs.columns)
+    mine = [F.col("id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_src")), F.col("version") == F.col("_version")]
+    # The row travels as one column, so that its names can't clash with those used here.
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("version"))
+    joined = named.join(counts, mine)
+    nth = F.row_number().over(Window.partitionBy("_id", "_src", "_version").orderBy(F.lit(0)))
+    dealt = joined.select("row", "_times", "_rows", nth.alias("nth"))
+    copies = F.expr("_times div _rows + if(nth <= _times % _rows, 1, 0)")
+    dealt = dealt.select("row", copies.alias("copies")).filter("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

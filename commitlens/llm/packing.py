@@ -98,30 +98,31 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     rows are several pieces. Columns named ``sequence_id`` or ``offset`` are replaced. An empty
     table gives an empty result.
     """
-    own = pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
-    numbered = T.StructType([*own.schema.fields, T.StructField("_task", T.LongType()), T.StructField("_nth", T.LongType())])
-    at = own.columns.index(length_col)
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    # The row travels as one column, so that its names can't clash with those used here.
+    rows = pieces.select(F.struct(*own).alias("row"), F.col(length_col).cast("long").alias("size"))
+    row_type = rows.schema["row"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row's place among the rows of its length in this task."""
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            sizes = _sizes(batch.column(at), capacity)
+            sizes = _sizes(batch.column(1), capacity)
             order = np.argsort(sizes, kind="stable")
             ordered = sizes[order]
             first = np.searchsorted(ordered, ordered)
             nth = np.empty(len(sizes), np.int64)
             nth[order] = seen[ordered] + np.arange(len(sizes)) - first
             seen += np.bincount(sizes, minlength=capacity + 1)
-            columns = [*batch.columns, pa.array(np.full(len(sizes), task)), pa.array(nth)]
-            yield pa.RecordBatch.from_arrays(columns, numbered.names)
-
-    table = stored(own.mapInArrow(number, numbered), "pieces")
-    valid = table.filter(F.col(length_col).between(1, capacity))
-    counts = valid.groupBy(F.col(length_col).cast("long").alias("_size"), F.col("_task").alias("_of")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("_size").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")), "counts")
+            columns = [batch.column(0), pa.array(sizes), pa.array(np.full(len(sizes), task)), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "size", "task", "nth"])
+
+    numbers = [T.StructField(c, T.LongType()) for c in ("size", "task", "nth")]
+    table = stored(rows.mapInArrow(number, T.StructType([row_type, *numbers])), "pieces")
+    counts = table.filter("size > 0").groupBy(F.col("size").alias("_size"), F.col("task").alias("_task")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_size").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "counts")
     totals = {r["_size"]: r["n"] for r in counts.groupBy("_size").agg(F.sum("n").alias("n")).collect()}
     places = np.array(sorted(best_fit(totals, capacity)), np.int64).reshape(-1, 5)
     keys = (places[:, 0] << RANK_BITS) + places[:, 1]
@@ -129,29 +130,25 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     bases = counts.drop("n")
     if counts.count() * 32 <= BROADCAST_BYTES:
         bases = F.broadcast(bases)
-    ranked = table.join(bases, (F.col(length_col) == F.col("_size")) & (F.col("_task") == F.col("_of")), "left")
-    ranked = ranked.select(*own.columns, (F.col("_base") + F.col("_nth")).alias("_rank"))
-    out = T.StructType([*own.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    ranked = table.join(bases, (F.col("size") == F.col("_size")) & (F.col("task") == F.col("_task")), "left")
+    ranked = ranked.select("row", "size", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column(len(own_names))
-            fits = np.asarray(rank.is_valid())
-            ranks = np.asarray(pc.fill_null(rank, 0))
-            sizes = _sizes(batch.column(at), capacity)
+            row, size, rank = batch.columns
+            sizes, ranks = np.asarray(size), np.asarray(pc.fill_null(rank, 0))
+            found = np.zeros((len(sizes), 5), np.int64)
             if len(keys):
-                row = places[np.maximum(np.searchsorted(keys, (sizes << RANK_BITS) + ranks, side="right") - 1, 0)]
-                found = (row[:, 3] + ranks - row[:, 1], row[:, 4])
-            else:
-                found = (np.zeros(len(sizes), np.int64),) * 2
-            columns = [*batch.columns[:-1], *[pa.array(x, mask=~fits) for x in found]]
-            yield pa.RecordBatch.from_arrays(columns, [*own_names, "sequence_id", "offset"])
+                found = places[np.maximum(np.searchsorted(keys, (sizes << RANK_BITS) + ranks, side="right") - 1, 0)]
+            nowhere = sizes == 0
+            columns = [row, pa.array(found[:, 3] + ranks - found[:, 1], mask=nowhere), pa.array(found[:, 4], mask=nowhere)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "sequence_id", "offset"])
 
-    own_names = own.columns
-    return ranked.mapInArrow(place, out)
+    out = T.StructType([row_type, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, out).select("row.*", "sequence_id", "offset")
 
 
 def _sizes(column: pa.Array, capacity: int) -> np.ndarray:
     """Lengths as integers, 0 for those that fit nowhere."""
-    sizes = np.asarray(pc.fill_null(column.cast(pa.int64()), 0))
+    sizes = np.asarray(pc.fill_null(column, 0))
     return np.where((sizes < 1) | (sizes > capacity), 0, sizes)
