@@ -85,7 +85,8 @@ def running_before(
     )
     local = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(n) for n, v in values.items()])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*group, bucket)]
-    joined = local.join(bases, on=same, how="inner")
+    # The sizes of rows made by explode() are underestimated; a hint keeps them from a broadcast.
+    joined = local.hint("merge").join(bases, on=same, how="inner")
     return joined.select(
         *df.columns, *[(F.col(n) + F.col(f"_base_{n}")).cast("long").alias(n) for n in values]
     )

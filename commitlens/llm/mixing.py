@@ -12,7 +12,7 @@ POINT_BITS = 40
 GOLDEN = round(0.6180339887498949 * (1 << POINT_BITS)) | 1
 CELL_BITS = 12
 CHUNK = 1 << 14  # slots that are ranked in one piece
-PIECE = 20_000  # documents of a source whose sizes are summed up in one piece
+PIECE = 2_000  # documents (of all sources) whose sizes are summed up in one piece, source by source
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -82,7 +82,9 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     high_part = (F.shiftright(i, half) * upper).bitwiseAND(F.lit(mask))
     slots = slots.select("*", (low_part + high_part).bitwiseAND(F.lit(mask)).alias("point"))
     slots = slots.select("*", F.shiftright("point", width).alias("cell"))
-    owned = slots.join(cells, "cell").filter("point >= low and point < high").select("slot", "chunk", "source")
+    # Slots outnumber what Spark can estimate of an explode(): written first, they are never broadcast unseen.
+    owned = slots.hint("merge").join(cells, "cell").filter("point >= low and point < high")
+    owned = stored(owned.select("slot", "chunk", "source"), "slots")
     ranked = running_before(owned, ["source"], "chunk", [F.col("slot")], rank=F.lit(1))
     ranked = ranked.withColumnRenamed("source", "_source")
     scheduled = ranked.join(sources, F.col("source").eqNullSafe(F.col("_source"))).filter("rank < need")
@@ -157,7 +159,7 @@ def mix(
     length = F.least(end, (F.col("block") + 1) * block) - F.greatest(start, F.col("block") * block)
     spans = spans.select(F.col("source").alias("_source"), "place", F.col("block").alias("_block"), inside.alias("inside"), into.alias("start"), F.greatest(length, F.lit(0).cast("long")).alias("length"))
     slots = schedule(targets, block)
-    taken = slots.join(spans, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    taken = slots.hint("merge").join(spans, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     words = F.least("length", F.col("take") - F.col("inside"))
     # A passage behind the end of a cut block isn't taken; one without words is, up to that end.
     taken = taken.filter((words > 0) | ((F.col("length") == 0) & (F.col("inside") <= F.col("take"))))
@@ -170,7 +172,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     sums = passages.groupBy("source", "place").agg(F.sum("words").alias("taken"))
     sums = sums.select(F.col("source").alias("_source"), F.col("place").alias("_place"), "taken")
     same = placed["source"].eqNullSafe(F.col("_source")) & (placed["place"] == F.col("_place"))
-    return placed.join(sums, same, "left").select(
+    return placed.join(sums.hint("merge"), same, "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )
 
@@ -186,14 +188,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     begun = passages.filter("start = 0").groupBy(F.col("source").alias("_source"), F.col("place").alias("_place")).agg(F.count("*").alias("times"))
     same = placed["source"].eqNullSafe(F.col("_source")) & (placed["place"] == F.col("_place"))
     key = ("_id", "_src", "_version")
-    counts = placed.join(begun, same).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("version").alias("_version")).agg(F.sum("times").alias("_times"))
+    counts = placed.join(begun.hint("merge"), same).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("version").alias("_version")).agg(F.sum("times").alias("_times"))
     rows = placed.groupBy(F.col("doc_id").alias("_id2"), F.col("source").alias("_src2"), F.col("version").alias("_version2")).agg(F.count("*").alias("_rows"))
     alike = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in key]
-    counts = counts.join(rows, alike).select(*key, "_times", "_rows")
+    counts = counts.hint("merge").join(rows, alike).select(*key, "_times", "_rows")
     mine = [F.col("id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_src")), F.col("version") == F.col("_version")]
     # The row travels as one column, so that its names can't clash with those used here.
     named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("version"))
-    joined = named.join(counts, mine)
+    joined = named.join(counts.hint("merge"), mine)
     nth = F.row_number().over(Window.partitionBy("_id", "_src", "_version").orderBy(F.lit(0)))
     dealt = joined.select("row", "_times", "_rows", nth.alias("nth"))
     copies = F.expr("_times div _rows + if(nth <= _times % _rows, 1, 0)")

@@ -16,7 +16,7 @@ from commitlens.llm.vectors import QUERY_BLOCK, batches_of, best_of, classes, ma
 
 @dataclass(frozen=True)
 class Options:
-    """``sample_rows`` bounds what centroids are fitted on, ``most_lists`` their number."""
+    """``sample_rows`` bounds what centroids are fitted on, twice ``most_lists`` their number."""
 
     sample_rows: int = 20_000
     most_lists: int = 4096
@@ -88,25 +88,40 @@ class Centroids:
         return best, far[rows, best]
 
 
+def clustered(points: np.ndarray, parts: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Which of ``parts`` clusters each point belongs to, by Lloyd's method."""
+    centers = points[rng.choice(len(points), parts, replace=False)]
+    own = np.zeros(len(points), np.int64)
+    for _ in range(rounds):
+        own = np.argmin((centers**2).sum(axis=1) - 2 * points @ centers.T, axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, points)
+        sizes = np.bincount(own, minlength=parts)[:, None]
+        centers = np.where(sizes > 0, sums / np.maximum(sizes, 1), centers)
+    return own
+
+
 def fit(sample: np.ndarray, count: int, radius2: float, options: Options) -> Centroids:
     """Balanced centres of ``count`` vectors from a sample of them, and their graph.
 
-    Lists that grow beyond the mean push vectors away in the next round, in proportion to their excess.
+    The sample is clustered top down: what holds more than its share of a list is split again, so dense
+    regions get as many centres as they need. Equal vectors can't be split and stay one centre.
     """
     lists = int(np.clip(-(-count // options.list_rows), 1, min(options.most_lists, len(sample))))
     rng = np.random.default_rng(7)
     points = np.hstack([sample, np.sqrt(np.maximum(radius2 - (sample**2).sum(axis=1), 0))[:, None]])
-    centers = points[rng.choice(len(points), lists, replace=False)].copy()
-    push = np.zeros(lists)
-    typical = points.var(axis=0).sum() or 1.0
-    for _ in range(options.rounds):
-        squares = (centers**2).sum(axis=1) + push
-        own = np.concatenate([np.argmin(squares - 2 * part @ centers.T, axis=1) for part in np.array_split(points, -(-len(points) // 4096))])
-        sizes = np.bincount(own, minlength=lists)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, own, points)
-        centers = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], points[rng.choice(len(points), lists)])
-        push = typical * 0.1 * np.clip(sizes * lists / len(points) - 1, 0, 3)
+    share = len(points) / lists
+    todo, leaves = [np.arange(len(points))], []
+    while todo:
+        rows = todo.pop()
+        parts = min(8, int(np.ceil(len(rows) / share)))
+        own = clustered(points[rows], parts, options.rounds, rng) if len(rows) > 1.3 * share and parts > 1 else np.zeros(len(rows), np.int64)
+        if own.min() == own.max():
+            leaves.append(points[rows].mean(axis=0))
+        else:
+            todo += [rows[own == p] for p in np.unique(own)]
+    centers = np.array(leaves)
+    lists = len(centers)
     degree = min(options.degree, lists - 1)
     squares = (centers**2).sum(axis=1)
     links = np.zeros((lists, max(degree, 1)), np.int64)
@@ -180,7 +195,7 @@ def nearest(
     Equal vectors are one class with its ``k + 1`` smallest ids, so copies fill no list. Vectors that are
     null, empty, zero or hold null or non-finite components, and null ids, take no part; components
     beyond the shorter vector's end count as 0. Rows that are wholly equal count once. An empty
-    table gives an empty result. Centres and graph, at most ``most_lists`` rows, go to every task.
+    table gives an empty result. Centres and graph, at most ``2 * most_lists`` rows, go to every task.
     """
     spark = vectors.sparkSession
 

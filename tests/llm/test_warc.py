@@ -1,0 +1,86 @@
+import hashlib
+import io
+import struct
+
+import pytest
+import zstandard
+
+from commitlens.llm.warc import DICTIONARY_FRAME, Archive, Record, WarcError, archive_round_trip, parse_record, read_archive, record_bytes
+
+PAGES = "page_id long, url string, html string"
+
+
+def response(page, text):
+    body = text.encode()
+    return Record(page, f"http://example.org/{page}", "response", None, hashlib.sha1(body).hexdigest(), len(body), body)
+
+
+def archive(records):
+    out = io.BytesIO()
+    written = Archive(out)
+    for r in records:
+        written.add(r)
+    written.close()
+    return out.getvalue()
+
+
+def test_archive_has_a_dictionary_and_a_frame_for_each_record():
+    records = [response(i, f"<html><title>page {i}</title>" + "<p>some text of all pages</p>" * 20) for i in range(300)]
+    data = archive(records)
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == DICTIONARY_FRAME and size > 0
+    assert list(read_archive(io.BytesIO(data))) == records
+    known = zstandard.ZstdCompressionDict(data[8 : 8 + size])
+    frame = zstandard.ZstdDecompressor(dict_data=known).decompressobj()
+    assert parse_record(frame.decompress(data[8 + size :])) == records[0] and frame.unused_data
+
+
+def test_few_records_need_no_dictionary():
+    assert list(read_archive(io.BytesIO(archive([])))) == []
+    records = [response(None, ""), response(-3, "é" * 100_000)]
+    assert list(read_archive(io.BytesIO(archive(records)))) == records
+
+
+@pytest.mark.parametrize("cut", [0, 4, 9, -1, -200])
+def test_cut_archives_are_refused(cut):
+    data = archive([response(i, f"page {i} " * 30) for i in range(40)])
+    with pytest.raises(WarcError):
+        list(read_archive(io.BytesIO(data[:cut])))
+
+
+@pytest.mark.parametrize(
+    "old,new",
+    [(b"WARC/1.1", b"HTTP/1.1"), (b"Content-Length: 1", b"Content-Length: 2"), (b"some", b"same"), (b"WARC-Type: response", b"WARC-Type: other"), (b"sha1:", b"md5:"), (b"WARC-Date", b"X-Date"), (b"\r\n\r\nsome", b"\r\nsome")],
+)
+def test_untrue_records_are_refused(old, new):
+    data = record_bytes(response(1, "some payload"))
+    assert old in data
+    with pytest.raises(WarcError):
+        parse_record(data.replace(old, new))
+
+
+def brute(rows, least=1000):
+    out = []
+    for page, _, html in rows:
+        body = (html or "").encode()
+        same = [p for p, _, h in rows if (h or "").encode() == body and p is not None]
+        latest = max(same, default=None)
+        revisit = len(body) >= least and latest is not None and page != latest
+        out.append((str(page), len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", str(latest) if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_round_trip(spark, clashing):
+    big, other = "<p>é</p>" * 200, "x" * 1000
+    rows = [(i, f"http://a.example/{i}", big if i % 3 == 0 else f"<p>{i}</p>" * 300) for i in range(90)]
+    rows += [(100, None, None), (101, "http://b.example/a b\r\nX: y", ""), (102, "", other), (103, "u", other[1:]), (104, "u", other[1:])]
+    rows += [(None, "u", other), (None, "u", "y" * 2000), (None, None, "y" * 2000), (105, "u", other), (105, "u", other), (200, "u", "z" * 300_000)]
+    pages = clashing(spark.createDataFrame(rows, PAGES).repartition(3))
+    got = archive_round_trip(pages).collect()
+    found = sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, None if r.refers_to is None else str(r.refers_to)) for r in got), key=str)
+    assert found == brute(rows)
+    for r in got:
+        assert (r.payload is None) == (r.record_type == "revisit")
+        assert r.payload is None or hashlib.sha1(r.payload).hexdigest() == r.payload_digest
+    assert {r.url for r in got if r.page_id == 101} == {"http://b.example/a%20b%0D%0AX:%20y"}
+    assert archive_round_trip(pages.limit(0)).collect() == []
