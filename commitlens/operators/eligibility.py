@@ -35,12 +35,15 @@ def _services(charges: DataFrame, names: Iterable[str], categories: Iterable[str
 def sku_prefix_eligible(
     charges: DataFrame, prefixes: Iterable[str] = COMPUTE_PLAN_SKU_PREFIXES
 ) -> DataFrame:
-    """Charges whose SKU description starts with one of ``prefixes`` (case matters).
+    """Charges whose SKU description starts with one of ``prefixes`` (case matters); none without any.
 
     One pattern does the work of all prefixes. Shared beginnings are written once in it, so a
     description is compared letter by letter against the list as a whole and not 192 times, and
     neither a join nor a shuffle is needed.
     """
+    prefixes = list(prefixes)
+    if not prefixes:
+        return charges.filter(F.lit(False))
     return charges.filter(F.col("x_SkuDescription").rlike("^" + prefix_pattern(prefixes)))
 
 

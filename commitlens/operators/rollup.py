@@ -45,23 +45,42 @@ def coverage_rollup(charges: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``UncoveredResources`` and ``Resources`` exact distinct counts of ``ResourceId``.
 
     Counting one id under several conditions with ``countDistinct`` would copy every charge once
-    per condition. Grouping by id and side first needs no copy, adds a charge to one exact sum per
-    cost, and spreads a group that holds a large part of the table over its resources. Charges
-    without a resource form rows of their own in that step: their costs count, a resource does not.
+    per condition. Charges are grouped by id first, with a flag for each side that the id is on;
+    counting the flags is exact, needs no copy and one shuffle less than another distinct count, and
+    a group that holds a large part of the table is spread over its resources. Charges without a
+    resource form rows of their own in that step: their costs count, a resource does not.
     """
     costs = ("EffectiveCost", "ListCost")
-    committed, resource = F.col("committed"), F.col("ResourceId")
-    per_resource = charges.groupBy(*keys, "ResourceId", is_committed().alias("committed")).agg(
-        *[F.sum(c).alias(c) for c in costs]
-    )
-    return per_resource.groupBy(*keys).agg(
+    committed, resource = is_committed(), F.col("ResourceId")
+    per_resource = charges.groupBy(*keys, "ResourceId").agg(
         *[F.sum(c).alias(c) for c in costs],
         *[sum_where(committed, c).alias(f"Covered{c}") for c in costs],
-        *[sum_where(~committed, c).alias(f"Uncovered{c}") for c in costs],
-        F.count(F.when(committed, resource)).alias("CoveredResources"),
-        F.count(F.when(~committed, resource)).alias("UncoveredResources"),
-        F.countDistinct(resource).alias("Resources"),
+        F.max(committed).alias("covered"),
+        F.max(~committed).alias("uncovered"),
+    )
+    groups = per_resource.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in costs],
+        *[F.sum(f"Covered{c}").alias(f"Covered{c}") for c in costs],
+        F.max("covered").alias("any_covered"),
+        F.count(F.when(F.col("covered"), resource)).alias("CoveredResources"),
+        F.count(F.when(F.col("uncovered"), resource)).alias("UncoveredResources"),
+        F.count(resource).alias("Resources"),
     )
+    return groups.select(
+        *keys,
+        *[c for cost in costs for c in (cost, f"Covered{cost}")],
+        *[_rest(c).alias(f"Uncovered{c}") for c in costs],
+        "CoveredResources",
+        "UncoveredResources",
+        "Resources",
+    )
+
+
+def _rest(cost: str) -> Column:
+    """What is not covered: NULL where no charge has a cost and none is covered, as a sum of such charges is."""
+    zero = F.lit(0)
+    rest = F.coalesce(cost, zero) - F.coalesce(f"Covered{cost}", zero)
+    return F.when(F.col(cost).isNotNull() | F.col("any_covered"), rest)
 
 
 def spend_distribution(

@@ -11,16 +11,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitlens.schema import MONTH
+
 
 @dataclass(frozen=True)
 class ChargeWindow:
     """Charge period starts from ``start`` on and, where ``end`` is set, before ``end``.
 
-    ``start`` is a date, or a number of days before the current date.
+    ``start`` is a date, or a number of days before the current date; ``lookback`` is the number of
+    days of a window that was made by looking back.
     """
 
     start: dt.date | int | None = None
     end: dt.date | None = None
+    lookback: int | None = None
 
     def start_date(self) -> Column:
         if isinstance(self.start, int):
@@ -33,7 +37,7 @@ class ChargeWindow:
 
 def last_days(days: int, as_of: dt.date | None = None) -> ChargeWindow:
     """From midnight ``days`` before ``as_of``, by default the date the query runs."""
-    return ChargeWindow(days if as_of is None else as_of - dt.timedelta(days=days))
+    return ChargeWindow(days if as_of is None else as_of - dt.timedelta(days=days), lookback=days)
 
 
 def since(start: str) -> ChargeWindow:
@@ -45,12 +49,21 @@ def between(start: str, end: str) -> ChargeWindow:
 
 
 def charge_window(charges: DataFrame, window: ChargeWindow) -> DataFrame:
-    """Charges whose period starts within ``window``."""
+    """Charges whose period starts within ``window``.
+
+    A table read with its month partition is filtered by that as well, by the same window, so
+    other months aren't listed into the scan.
+    """
     started = F.col("ChargePeriodStart")
+    monthly = MONTH in charges.columns
     if window.start is not None:
         charges = charges.filter(started >= window.start_date())
+        if monthly:
+            charges = charges.filter(F.col(MONTH) >= F.trunc(window.start_date(), "MM"))
     if window.end is not None:
         charges = charges.filter(started < window.end_date())
+        if monthly:
+            charges = charges.filter(F.col(MONTH) < window.end_date())
     return charges
 
 

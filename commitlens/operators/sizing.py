@@ -20,7 +20,7 @@ PLAN_PERCENTS = (10, 25, 50, 75, 90)
 ANNUAL_PERCENTS = {"Total": (25, 50, 90), "Uncovered": (25, 50)}
 
 
-def commitment_sizing(distribution: DataFrame) -> DataFrame:
+def commitment_sizing(distribution: DataFrame, discount: float = PLAN_DISCOUNT) -> DataFrame:
     """Hourly and yearly commitments from the distribution of daily spend.
 
     An hour is a 24th of a day, a year 8760 hours. ``Total`` is all spend, ``Uncovered`` the part
@@ -46,7 +46,7 @@ def commitment_sizing(distribution: DataFrame) -> DataFrame:
         columns[f"{side}_AnnualizedSpend"] = scenario(per_day, DAYS_PER_YEAR)
     for side, rollup in sides.items():
         annual = _annual(f"{rollup}_effective_p50")
-        columns[f"{side}_P50_EstimatedAnnualSavings"] = scenario(annual, PLAN_DISCOUNT)
+        columns[f"{side}_P50_EstimatedAnnualSavings"] = scenario(annual, discount)
     return project(distribution, [], columns)
 
 

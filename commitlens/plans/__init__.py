@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from commitlens.operators.scope import ChargeWindow, last_days
 from commitlens.plans import commitments, coverage, opportunity, savings, sizing
+from commitlens.plans.common import SINCE_OCTOBER
 
 
 @dataclass(frozen=True)
@@ -42,15 +43,15 @@ REPORTS = {
     "q06_savings_by_type": _rolling(commitments.savings_by_type, 30),
     "q07_daily_trend": _rolling(commitments.daily_trend, 30),
     "q08_top_services_3mo": _rolling(savings.top_services, 90),
-    "q09_active_commitments": Report(commitments.active_commitments, commitments.SINCE_OCTOBER),
+    "q09_active_commitments": Report(commitments.active_commitments, SINCE_OCTOBER),
     "q10_eligible_coverage": _rolling(coverage.eligible_coverage, 30),
-    "q10b_eligible_coverage_since": Report(coverage.eligible_coverage, coverage.ELIGIBLE_SINCE),
+    "q10b_eligible_coverage_since": Report(coverage.eligible_coverage, SINCE_OCTOBER),
     "q10c_eligible_coverage_month": Report(coverage.eligible_coverage, coverage.ELIGIBLE_MONTH),
-    "q11_commitment_details": Report(commitments.commitment_details, commitments.SINCE_OCTOBER),
-    "q12_savings_opportunity": Report(opportunity.savings_opportunity, opportunity.SINCE_OCTOBER),
-    "q13_hourly_spend": Report(opportunity.hourly_spend, opportunity.SINCE_OCTOBER),
-    "q14_covered_skus": Report(commitments.covered_skus, commitments.SINCE_OCTOBER),
+    "q11_commitment_details": Report(commitments.commitment_details, SINCE_OCTOBER),
+    "q12_savings_opportunity": Report(opportunity.savings_opportunity, SINCE_OCTOBER),
+    "q13_hourly_spend": Report(opportunity.hourly_spend, SINCE_OCTOBER),
+    "q14_covered_skus": Report(commitments.covered_skus, SINCE_OCTOBER),
     "q15_savings_plan_sizing": Report(sizing.savings_plan_sizing, sizing.SINCE_MARCH),
-    "q16_sizing_validation": Report(sizing.sizing_validation, sizing.SINCE_OCTOBER),
+    "q16_sizing_validation": Report(sizing.sizing_validation, SINCE_OCTOBER),
     "q17_storage_reservations": Report(sizing.storage_reservations, sizing.SINCE_MARCH),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from commitlens.functions import measures as m
 from commitlens.functions.storage import storage_capacity_class
@@ -181,6 +182,30 @@ def storage_scope(charges: DataFrame) -> DataFrame:
     return _charges_of(kept, "x_SkuMeterCategory", "x_SkuMeterSubcategory", "SkuId")
 
 
+def catalog_prefixes(offers: DataFrame) -> DataFrame:
+    return _sums_of(offers.transform(eligibility.sku_prefix_eligible), "x_SkuDescription")
+
+
+def catalog_services(offers: DataFrame) -> DataFrame:
+    return _sums_of(offers.transform(eligibility.eligible_services), "ServiceName", "ServiceCategory")
+
+
+def catalog_compute(offers: DataFrame) -> DataFrame:
+    return _sums_of(offers.transform(eligibility.compute_services), "ServiceName", "ServiceCategory")
+
+
+def _sums_of(offers: DataFrame, *keys: str) -> DataFrame:
+    groups = offers.groupBy(*keys).agg(F.count("*").alias("Charges"), *totals("EffectiveCost"))
+    return project(groups, keys, {"Charges": "Charges", "EffectiveCost": m.double("EffectiveCost")})
+
+
+# Over charges that meet every catalog entry.
+CATALOGS = {
+    "op_sku_prefix_eligible_all": catalog_prefixes,
+    "op_eligible_services_all": catalog_services,
+    "op_compute_services_all": catalog_compute,
+}
+
 OPERATORS = {
     "op_usage_scope": usage_scope,
     "op_charge_window": charge_window,

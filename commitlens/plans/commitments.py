@@ -22,13 +22,10 @@ from commitlens.operators.scope import (
     ChargeWindow,
     charge_window,
     last_days,
-    since,
     under_commitment,
     usage_scope,
 )
-from commitlens.plans.common import COMMITMENT, SERVICE, usage_in
-
-SINCE_OCTOBER = since("2025-10-01")
+from commitlens.plans.common import COMMITMENT, SERVICE, SINCE_OCTOBER, usage_in
 
 
 def commitment_utilization(charges: DataFrame, window: ChargeWindow = last_days(30)) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from commitlens.operators.scope import ChargeWindow, charge_window, usage_scope
+from commitlens.operators.scope import ChargeWindow, charge_window, since, usage_scope
+
+SINCE_OCTOBER = since("2025-10-01")
 
 SERVICE = ["ProviderName", "ServiceCategory", "ServiceName"]
 COMMITMENT = [

@@ -9,10 +9,9 @@ from commitlens.functions.measures import double, percent, savings, savings_rate
 from commitlens.operators.eligibility import eligible_services
 from commitlens.operators.grouping import project
 from commitlens.operators.rollup import coverage_rollup
-from commitlens.operators.scope import ChargeWindow, between, last_days, since
+from commitlens.operators.scope import ChargeWindow, between, last_days
 from commitlens.plans.common import SERVICE, usage_in
 
-ELIGIBLE_SINCE = since("2025-10-01")
 ELIGIBLE_MONTH = between("2026-01-01", "2026-02-01")
 
 

@@ -16,10 +16,8 @@ from commitlens.functions.measures import (
 )
 from commitlens.operators.eligibility import eligible_services
 from commitlens.operators.grouping import project, totals
-from commitlens.operators.scope import ChargeWindow, since, without_commitment
-from commitlens.plans.common import SERVICE, usage_in
-
-SINCE_OCTOBER = since("2025-10-01")
+from commitlens.operators.scope import ChargeWindow, without_commitment
+from commitlens.plans.common import SERVICE, SINCE_OCTOBER, usage_in
 
 
 def _uncovered_groups(charges: DataFrame, window: ChargeWindow, keys: Sequence[str]) -> DataFrame:
@@ -36,15 +34,20 @@ def _uncovered_groups(charges: DataFrame, window: ChargeWindow, keys: Sequence[s
     )
 
 
-def savings_opportunity(charges: DataFrame, window: ChargeWindow = SINCE_OCTOBER) -> DataFrame:
-    """Uncovered spend by service and region, and what 25 % or 30 % off would save."""
+def savings_opportunity(
+    charges: DataFrame, window: ChargeWindow = SINCE_OCTOBER, discounts: tuple[float, float] = (0.25, 0.30)
+) -> DataFrame:
+    """Uncovered spend by service and region, and what two discounts would save.
+
+    The columns are named for the usual 25 % and 30 %, whatever ``discounts`` are given.
+    """
     keys = [*SERVICE, "RegionId"]
     report = project(_uncovered_groups(charges, window, keys), keys, {
         "TotalUncoveredCost": double("EffectiveCost"),
         "TotalListCost": double("ListCost"),
         "TotalContractedCost": double("ContractedCost"),
-        "EstimatedSavings25Pct": scenario("EffectiveCost", 0.25),
-        "EstimatedSavings30Pct": scenario("EffectiveCost", 0.30),
+        "EstimatedSavings25Pct": scenario("EffectiveCost", discounts[0]),
+        "EstimatedSavings30Pct": scenario("EffectiveCost", discounts[1]),
         "TotalPricingQuantity": double("PricingQuantity"),
         "DaysWithUsage": "days",
         "AvgDailyCost": per_active_day("EffectiveCost", "days"),

@@ -67,7 +67,12 @@ def coverage_by_pricing_category(
 
 
 def top_services(charges: DataFrame, window: ChargeWindow = last_days(90)) -> DataFrame:
-    """All services with spend, costliest first, over 90 days and per month of three."""
+    """All services with spend, costliest first, over 90 days and per month of three.
+
+    Its columns speak of three months, so any other window than 90 days back is an error.
+    """
+    if window.lookback != 90:
+        raise ValueError("this report looks back 90 days; use last_days(90, as_of)")
     groups = (
         usage_in(charges, window)
         .groupBy(*SERVICE)

@@ -18,18 +18,19 @@ from commitlens.operators.eligibility import compute_services, sku_prefix_eligib
 from commitlens.operators.grouping import project, totals
 from commitlens.operators.rollup import daily_rollup, spend_distribution
 from commitlens.operators.scope import ChargeWindow, since, storage_scope
-from commitlens.operators.sizing import PLAN_PERCENTS, commitment_sizing, hourly
-from commitlens.plans.common import usage_in
+from commitlens.operators.sizing import PLAN_DISCOUNT, PLAN_PERCENTS, commitment_sizing, hourly
+from commitlens.plans.common import SINCE_OCTOBER, usage_in
 
 SINCE_MARCH = since("2025-03-01")
-SINCE_OCTOBER = since("2025-10-01")
 
 
-def savings_plan_sizing(charges: DataFrame, window: ChargeWindow = SINCE_MARCH) -> DataFrame:
+def savings_plan_sizing(
+    charges: DataFrame, window: ChargeWindow = SINCE_MARCH, discount: float = PLAN_DISCOUNT
+) -> DataFrame:
     """Distribution of the daily spend that a compute savings plan could cover, as one row."""
     daily = usage_in(charges, window).transform(sku_prefix_eligible).transform(daily_rollup)
     values = ["daily_total_effective", "daily_uncovered_effective"]
-    return daily.transform(spend_distribution, values, PLAN_PERCENTS).transform(commitment_sizing)
+    return daily.transform(spend_distribution, values, PLAN_PERCENTS).transform(commitment_sizing, discount)
 
 
 def sizing_validation(charges: DataFrame, window: ChargeWindow = SINCE_OCTOBER) -> DataFrame:
@@ -52,8 +53,13 @@ def sizing_validation(charges: DataFrame, window: ChargeWindow = SINCE_OCTOBER)
     })
 
 
-def storage_reservations(charges: DataFrame, window: ChargeWindow = SINCE_MARCH) -> DataFrame:
-    """Storage spend by type, region and capacity class, with spread, coverage and savings."""
+def storage_reservations(
+    charges: DataFrame, window: ChargeWindow = SINCE_MARCH, discounts: tuple[float, float] = (0.25, 0.38)
+) -> DataFrame:
+    """Storage spend by type, region and capacity class, with spread, coverage and savings.
+
+    ``discounts`` are those of one and of three years; the columns are named for the usual ones.
+    """
     keys = ["x_SkuMeterSubcategory", "RegionId", "IsCapacityCharge"]
     total, uncovered = "daily_total_effective", "daily_uncovered_effective"
     groups = (
@@ -85,7 +91,7 @@ def storage_reservations(charges: DataFrame, window: ChargeWindow = SINCE_MARCH)
         "Uncovered_MaxDaily": f"{uncovered}_max",
         "CoverageRatePct": percent(F.col(total) - F.col(uncovered), total),
         "Uncovered_AnnualizedCost": scenario(daily_mean, DAYS_PER_YEAR),
-        "EstSavings_1yr_25pct": scenario(daily_mean, DAYS_PER_YEAR, 0.25),
-        "EstSavings_3yr_38pct": scenario(daily_mean, DAYS_PER_YEAR, 0.38),
+        "EstSavings_1yr_25pct": scenario(daily_mean, DAYS_PER_YEAR, discounts[0]),
+        "EstSavings_3yr_38pct": scenario(daily_mean, DAYS_PER_YEAR, discounts[1]),
     })
     return report.orderBy(F.desc("Uncovered_EffectiveCost"))

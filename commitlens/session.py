@@ -35,3 +35,17 @@ def local_session(cores: int = 8, memory: str = "8g", **extra: str) -> SparkSess
         **extra,
     }
     return configured(builder, **settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where none is named, a local session uses one beside its warehouse; elsewhere that is an error,
+    because a machine's own folder would lose data with an executor.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"

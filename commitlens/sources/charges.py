@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from commitlens.operators.scope import ChargeWindow
-from commitlens.schema import conform
+from commitlens.schema import CHARGE_COLUMNS, TEXT_SCHEMA, conform
 
 
 def read_charges(
@@ -19,14 +18,16 @@ def read_charges(
     file_format: str = "parquet",
     columns: Sequence[str] | None = None,
     month_column: str | None = None,
-    window: ChargeWindow | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Charges of a catalog table, or of files at ``path``.
 
+    CSV files are read by their header, JSON by field names, both without inference: measures are
+    exact, times ISO text in UTC. ``options`` go to Spark's reader.
+
     A table of many months is best partitioned by the month of ``ChargePeriodStart``. Name that
-    partition column as ``month_column`` (a date, the first of the month) and pass the report's
-    ``window``: directories outside the window are then never listed into the scan. The report
-    still filters on ``ChargePeriodStart`` itself.
+    partition column as ``month_column`` (a date, the first of the month): it is kept as
+    ``charge_month``, and the window of each report then skips the months outside it.
     """
     if (table is None) == (path is None):
         raise ValueError("give either a table name or a path")
@@ -34,17 +35,10 @@ def read_charges(
         charges = spark.table(table)
     else:
         paths = [path] if isinstance(path, str) else list(path)
-        charges = spark.read.format(file_format).load(paths)
-    if month_column is not None and window is not None:
-        charges = prune_months(charges, month_column, window)
-    return conform(charges, columns)
-
-
-def prune_months(charges: DataFrame, month_column: str, window: ChargeWindow) -> DataFrame:
-    """Keep the month partitions that can hold charges of ``window``."""
-    month = F.col(month_column)
-    if window.start is not None:
-        charges = charges.filter(month >= F.trunc(window.start_date(), "MM"))
-    if window.end is not None:
-        charges = charges.filter(month < window.end_date())
-    return charges
+        reader = spark.read.format(file_format)
+        if file_format == "csv":
+            reader = reader.option("header", "true")
+        elif file_format == "json":
+            reader = reader.schema(T.StructType([TEXT_SCHEMA[c] for c in columns or CHARGE_COLUMNS]))
+        charges = reader.options(**(options or {})).load(paths)
+    return conform(charges, columns, month_column)

@@ -6,10 +6,18 @@ class, so every business state the reports tell apart occurs at every scale fact
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commitlens.catalogs import COMPUTE_PLAN_SKU_PREFIXES, ELIGIBLE_CATEGORIES, service_names
 from commitlens.schema import CHARGE_COLUMNS
+from commitlens.session import shared_folder
+from commitlens.sources.charges import read_charges
+
+_COSTS = ("ListCost", "ContractedCost", "EffectiveCost")
 
 FIRST_DAY = "2025-02-15"
 AS_OF = "2026-03-16"
@@ -90,28 +98,29 @@ _DERIVED = {
 }
 
 _RULES = {
-    "ProviderName": "if(l_suppkey % 8 = 0, 'Marketplace', 'Microsoft')",
+    "ProviderName": "case when l_suppkey % 8 = 0 then 'Marketplace' when l_suppkey % 50 <> 49 then 'Microsoft' end",
     "ServiceCategory": "category",
     "ServiceName": "service",
     "RegionId": "if(s_nationkey <> 24, lower(n_name), null)",
-    "RegionName": "if(s_nationkey <> 24, n_name, null)",
-    "ListCost": "listed",
+    "RegionName": "if(s_nationkey <> 24, if(l_linenumber = 7, 'Old ', '') || n_name, null)",
+    "ListCost": "if(l_partkey % 89 = 0, null, listed)",
     "ContractedCost": "cast(listed * (1 - cast(l_tax as decimal(4,2))) as decimal(18,6))",
-    "EffectiveCost": "cast(listed * (1 - cast(l_discount as decimal(4,2)))"
-    " * if(k <= 2, 0.6, 1.0) as decimal(18,6))",
-    "PricingQuantity": "cast(l_quantity as decimal(18,2))",
+    "EffectiveCost": "if(l_orderkey % 97 = 0, null, cast(listed * (1 - cast(l_discount as decimal(4,2)))"
+    " * if(k <= 2, 0.6, 1.0) as decimal(18,6)))",
+    "PricingQuantity": "cast(cast(l_quantity as decimal(12,2)) * 0.0033 as decimal(18,6))",
     "CommitmentDiscountId": "if(k <= 2, 'cd-' || plan, null)",
     "CommitmentDiscountName": "if(k <= 1, 'Commit ' || plan, null)",
     "CommitmentDiscountType": "if(k <= 2, if(plan % 2 = 0, 'Reservation', 'Savings Plan'), null)",
     "ResourceId": "if(o_custkey % 50 <> 0, 'res-' || o_custkey % 500, null)",
-    "ChargeCategory": "case kind when 0 then 'Purchase' when 1 then 'Tax' else 'Usage' end",
+    "ChargeCategory": "case when l_orderkey % 101 = 0 then null when kind = 0 then 'Purchase'"
+    " when kind = 1 then 'Tax' else 'Usage' end",
     "ChargeClass": "case when l_returnflag = 'R' and l_linenumber = 1 then 'Correction'"
     " when l_returnflag = 'A' then 'Regular' end",
     "ChargePeriodStart": "day0 + make_dt_interval(d, if(l_linenumber % 2 = 1, 6, 0))",
     "ChargePeriodEnd": "day0 + make_dt_interval(d + 1)",
     "PricingCategory": "case when k <= 1 then 'Committed' when k = 3 then null"
     " when k = 4 then 'Dynamic' else 'Standard' end",
-    "ChargeDescription": "text",
+    "ChargeDescription": "'Charge: ' || text || ' per hour'",
     "SkuId": "'SKU-' || ix",
     "SkuPriceId": "'SKU-' || ix || '-' || l_suppkey % 3",
     "x_SkuDescription": "text",
@@ -120,6 +129,36 @@ _RULES = {
 }
 
 
+SMALL = "0.0000000001"
+
+
+def stored_small_charges(spark: SparkSession, sf_dir: str, measures: str) -> DataFrame:
+    """The fixture with costs by 10**-10, written with ``measures`` as that type and read as a table is."""
+    costs = [F.expr(f"cast({c} * cast({SMALL} as decimal(10,10)) as decimal(38,18))").cast(measures).alias(c) for c in _COSTS]
+    others = [c for c in CHARGE_COLUMNS if c not in (*_COSTS, "PricingQuantity")]
+    small = fixture_charges(spark, sf_dir).select(*others, *costs, F.col("PricingQuantity").cast(measures))
+    path = f"{shared_folder(spark)}/charges-{uuid.uuid4().hex}"
+    small.write.parquet(path)
+    return read_charges(spark, path=path)
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A charge for each order line, so that every catalog entry is some line's SKU, service or category."""
+
+    def entry(values: Sequence[str], key: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+    lines = spark.read.schema(_TABLES["lineitem"]).parquet(f"{sf_dir}/lineitem.parquet")
+    by_name = F.col("l_linenumber") % 2 == 0
+    none = F.lit("None")
+    return lines.select(
+        F.concat(entry(COMPUTE_PLAN_SKU_PREFIXES, "l_partkey"), F.lit(" - "), "l_linenumber").alias("x_SkuDescription"),
+        F.when(by_name, entry(service_names(), "l_partkey")).otherwise(none).alias("ServiceName"),
+        F.when(by_name, none).otherwise(entry(ELIGIBLE_CATEGORIES, "l_partkey")).alias("ServiceCategory"),
+        F.col("l_extendedprice").cast("decimal(18,6)").alias("EffectiveCost"),
+    )
+
+
 def fixture_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charges derived from the lineitem, orders, supplier and nation tables under ``sf_dir``.
 

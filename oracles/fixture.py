@@ -18,16 +18,18 @@ lines AS (
 ),
 focus AS (
     SELECT
-        CASE WHEN l_suppkey % 8 = 0 THEN 'Marketplace' ELSE 'Microsoft' END AS ProviderName,
+        CASE WHEN l_suppkey % 8 = 0 THEN 'Marketplace'
+            WHEN l_suppkey % 50 <> 49 THEN 'Microsoft' END AS ProviderName,
         category AS ServiceCategory,
         service AS ServiceName,
         CASE WHEN s_nationkey <> 24 THEN lower(n_name) END AS RegionId,
-        CASE WHEN s_nationkey <> 24 THEN n_name END AS RegionName,
-        listed AS ListCost,
-        CAST(listed * (1 - CAST(l_discount AS DECIMAL(4,2)))
-            * CASE WHEN k <= 2 THEN 0.6 ELSE 1.0 END AS DECIMAL(18,6)) AS EffectiveCost,
+        CASE WHEN s_nationkey <> 24 THEN
+            CASE WHEN l_linenumber = 7 THEN 'Old ' ELSE '' END || n_name END AS RegionName,
+        CASE WHEN l_partkey % 89 <> 0 THEN listed END AS ListCost,
+        CASE WHEN l_orderkey % 97 <> 0 THEN CAST(listed * (1 - CAST(l_discount AS DECIMAL(4,2)))
+            * CASE WHEN k <= 2 THEN 0.6 ELSE 1.0 END AS DECIMAL(18,6)) END AS EffectiveCost,
         CAST(listed * (1 - CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,6)) AS ContractedCost,
-        CAST(l_quantity AS DECIMAL(18,2)) AS PricingQuantity,
+        CAST(CAST(l_quantity AS DECIMAL(12,2)) * 0.0033 AS DECIMAL(18,6)) AS PricingQuantity,
         CASE WHEN k <= 2 THEN 'cd-' || (l_suppkey % 7) END AS CommitmentDiscountId,
         CASE WHEN k <= 1 THEN 'Commit ' || (l_suppkey % 7) END AS CommitmentDiscountName,
         CASE WHEN k <= 2 THEN CASE WHEN l_suppkey % 7 % 2 = 0 THEN 'Reservation'
@@ -35,14 +37,15 @@ focus AS (
         CASE WHEN k <= 1 THEN 'Committed' WHEN k = 3 THEN NULL WHEN k = 4 THEN 'Dynamic'
             ELSE 'Standard' END AS PricingCategory,
         CASE WHEN o_custkey % 50 <> 0 THEN 'res-' || (o_custkey % 500) END AS ResourceId,
-        CASE kind WHEN 0 THEN 'Purchase' WHEN 1 THEN 'Tax' ELSE 'Usage' END AS ChargeCategory,
+        CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN kind = 0 THEN 'Purchase'
+            WHEN kind = 1 THEN 'Tax' ELSE 'Usage' END AS ChargeCategory,
         CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'Correction'
             WHEN l_returnflag = 'A' THEN 'Regular' END AS ChargeClass,
         TIMESTAMP '{FIRST_DAY}' + INTERVAL 1 DAY * d
             + INTERVAL 1 HOUR * CASE WHEN l_linenumber % 2 = 1 THEN 6 ELSE 0 END
             AS ChargePeriodStart,
         TIMESTAMP '{FIRST_DAY}' + INTERVAL 1 DAY * (d + 1) AS ChargePeriodEnd,
-        text AS ChargeDescription,
+        'Charge: ' || text || ' per hour' AS ChargeDescription,
         'SKU-' || ix AS SkuId,
         'SKU-' || ix || '-' || (l_suppkey % 3) AS SkuPriceId,
         text AS x_SkuDescription,
@@ -52,6 +55,20 @@ focus AS (
 )"""
 
 
+# The fixture as a table of very small charges: costs by 10**-10, all digits kept.
+_SMALL = ", ".join(
+    f"CAST(CAST({c} AS DECIMAL(22,6)) * 0.0000000001 AS DECIMAL(38,18)) AS {c}"
+    for c in ("ListCost", "EffectiveCost", "ContractedCost")
+)
+
+
+def small(query: str) -> str:
+    """``query``, made by ``with_focus``, over the small charges instead."""
+    whole = FOCUS.strip()
+    renamed = whole.replace("\nfocus AS (", "\nfocus_whole AS (")
+    return query.replace(whole, f"{renamed},\nfocus AS (SELECT * REPLACE ({_SMALL}) FROM focus_whole)")
+
+
 def with_focus(query: str) -> str:
     """``query`` over the fixture; it may begin with further table expressions (``name AS (...)``)."""
     query = query.strip()

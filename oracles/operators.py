@@ -1,6 +1,7 @@
 """One DuckDB query per operator, over the whole fixture."""
 
 from oracles.fixture import with_focus
+from oracles.lists import COMPUTE_CATEGORIES, COMPUTE_NAMES, ELIGIBLE_CATEGORIES, ELIGIBLE_NAMES, SKU_PREFIXES
 from oracles.reports import (
     CAPACITY,
     COMMITTED,
@@ -19,6 +20,7 @@ from oracles.reports import (
     E,
     daily_sums,
     grouped,
+    quoted,
     share,
     sizing,
 )
@@ -137,3 +139,31 @@ WHERE CommitmentDiscountId IS NOT NULL
 GROUP BY ProviderName, CommitmentDiscountId"""),
     "op_storage_scope": rows("x_SkuMeterCategory, x_SkuMeterSubcategory, SkuId", STORAGE),
 }
+
+
+def _entry(values) -> str:
+    return f"list_extract([{quoted(values)}], (l_partkey % {len(values)} + 1)::INTEGER)"
+
+
+def catalog(keys: str, scope: str = "true") -> str:
+    """Every entry of the lists, by the part keys of the lines that it is dealt to."""
+    return f"""
+WITH offers AS (
+    SELECT {_entry(SKU_PREFIXES)} || ' - ' || l_linenumber AS x_SkuDescription,
+        CASE WHEN l_linenumber % 2 = 0 THEN {_entry(ELIGIBLE_NAMES)} ELSE 'None' END AS ServiceName,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'None' ELSE {_entry(ELIGIBLE_CATEGORIES)} END AS ServiceCategory,
+        CAST(l_extendedprice AS DECIMAL(18,6)) AS EffectiveCost
+    FROM lineitem
+)
+SELECT {keys}, count(*) AS Charges, CAST(sum(EffectiveCost) AS DOUBLE) AS EffectiveCost
+FROM offers WHERE {scope} GROUP BY {keys}"""
+
+
+SQL |= {
+    "op_sku_prefix_eligible_all": catalog("x_SkuDescription"),
+    "op_eligible_services_all": catalog("ServiceName, ServiceCategory"),
+    "op_compute_services_all": catalog(
+        "ServiceName, ServiceCategory",
+        f"ServiceName IN ({quoted(COMPUTE_NAMES)}) OR ServiceCategory IN ({quoted(COMPUTE_CATEGORIES)})",
+    ),
+}

@@ -5,14 +5,14 @@ rates, as the data model asks. Resource counts and coverage are counted directly
 Spark reports work in two steps.
 """
 
-from commitlens.catalogs import (
+from oracles.fixture import small, with_focus
+from oracles.lists import (
     COMPUTE_CATEGORIES,
-    COMPUTE_FAMILIES,
-    COMPUTE_PLAN_SKU_PREFIXES,
+    COMPUTE_NAMES,
     ELIGIBLE_CATEGORIES,
-    service_names,
+    ELIGIBLE_NAMES,
+    SKU_PREFIXES,
 )
-from oracles.fixture import with_focus
 
 USAGE = "ChargeCategory = 'Usage' AND ChargeClass IS DISTINCT FROM 'Correction'"
 LAST_30 = "ChargePeriodStart >= DATE '2026-02-14'"
@@ -27,15 +27,15 @@ def quoted(values) -> str:
 
 
 ELIGIBLE = (
-    f"(ServiceName IN ({quoted(service_names())})"
+    f"(ServiceName IN ({quoted(ELIGIBLE_NAMES)})"
     f" OR ServiceCategory IN ({quoted(ELIGIBLE_CATEGORIES)}))"
 )
 COMPUTE = (
-    f"(ServiceName IN ({quoted(service_names(*COMPUTE_FAMILIES))})"
+    f"(ServiceName IN ({quoted(COMPUTE_NAMES)})"
     f" OR ServiceCategory IN ({quoted(COMPUTE_CATEGORIES)}))"
 )
 PLAN_SKU = (
-    f"len(list_filter([{quoted(COMPUTE_PLAN_SKU_PREFIXES)}],"
+    f"len(list_filter([{quoted(SKU_PREFIXES)}],"
     " lambda p: starts_with(x_SkuDescription, p))) > 0"
 )
 STORAGE = "x_SkuMeterCategory = 'Storage' AND x_SkuMeterSubcategory IS DISTINCT FROM 'Bandwidth'"
@@ -147,7 +147,7 @@ def daily_sums() -> str:
 
 CAPACITY = """CASE WHEN
         (x_SkuMeterSubcategory = 'Premium SSD Managed Disks'
-            AND regexp_matches(ChargeDescription, '- P[34568]0 '))
+            AND regexp_matches(ChargeDescription, '- P30 |- P40 |- P50 |- P60 |- P80 '))
         OR (x_SkuMeterSubcategory = 'Ultra Disks'
             AND position('Provisioned Capacity' IN ChargeDescription) > 0)
         OR (x_SkuMeterSubcategory IN ('Tiered Block Blob', 'Files', 'Files v2')
@@ -319,3 +319,10 @@ FROM g"""),
     ),
     "q17_storage_reservations": storage(),
 }
+
+# Over a stored table of very small charges, whatever type it stores them as.
+SQL |= {
+    f"{key}_small_{kind}": small(SQL[key])
+    for key in ("q01_service_savings", "q13_hourly_spend")
+    for kind in ("decimal", "double")
+}

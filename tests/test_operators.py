@@ -12,6 +12,7 @@ from commitlens.functions.storage import storage_capacity_class
 from commitlens.operators import eligibility, rollup, scope
 from commitlens.operators.sizing import commitment_sizing
 from commitlens.plans import commitments, opportunity, sizing
+from oracles import lists
 
 
 def one(df) -> dict:
@@ -218,12 +219,39 @@ def test_coverage_rollup_agrees_with_direct_distinct_counts(charges):
     stepwise = rollup.coverage_rollup(charges, keys).select(
         *keys, "EffectiveCost", "CoveredResources", "UncoveredResources", "Resources"
     )
-    assert sorted(map(tuple, stepwise.collect())) == sorted(map(tuple, direct.collect()))
+    found, wanted = ([tuple(r) for r in df.collect()] for df in (stepwise, direct))
+    assert len(found) == len(wanted) and set(found) == set(wanted)
+
+
+def test_coverage_rollup_without_costs(spark):
+    """Sums of no known cost are NULL on the side that has charges, 0 on the other."""
+    blank = {"EffectiveCost": None, "ListCost": None}
+    for priced, covered, uncovered in (("Committed", None, 0), ("Standard", 0, None)):
+        row = rollup.coverage_rollup(charge_table(spark, {**blank, "PricingCategory": priced}), ["ServiceName"]).first()
+        assert row.EffectiveCost is None
+        assert (row.CoveredListCost, row.UncoveredListCost) == (covered, uncovered)
+    both = charge_table(spark, {**blank, "PricingCategory": "Committed"}, {**blank, "PricingCategory": None})
+    row = rollup.coverage_rollup(both, ["ServiceName"]).first()
+    assert (row.CoveredEffectiveCost, row.UncoveredEffectiveCost) == (0, 0)
 
 
 # Eligibility.
 
 
+def test_catalogs_equal_the_lists_of_the_checks():
+    assert tuple(catalogs.service_names()) == lists.ELIGIBLE_NAMES
+    assert tuple(catalogs.service_names(*catalogs.COMPUTE_FAMILIES)) == lists.COMPUTE_NAMES
+    assert catalogs.ELIGIBLE_CATEGORIES == lists.ELIGIBLE_CATEGORIES
+    assert catalogs.COMPUTE_CATEGORIES == lists.COMPUTE_CATEGORIES
+    assert catalogs.COMPUTE_PLAN_SKU_PREFIXES == lists.SKU_PREFIXES
+
+
+def test_no_prefixes_keep_nothing(spark):
+    charges = charge_table(spark, {"x_SkuDescription": "anything"}, {"x_SkuDescription": ""})
+    assert eligibility.sku_prefix_eligible(charges, ()).count() == 0
+    assert eligibility.sku_prefix_eligible(charges, ("",)).count() == 2
+
+
 def test_catalog_sizes():
     assert len(set(catalogs.service_names())) == len(catalogs.service_names()) == 53
     assert [len(f) for f in catalogs.ELIGIBLE_SERVICES.values()] == [10, 10, 8, 8, 3, 5, 3, 4, 2]

@@ -78,3 +78,8 @@ def test_rows_are_combined_before_every_shuffle(planned, key):
 )
 def test_resource_coverage_does_not_copy_charges(planned, key):
     assert "Expand" not in planned(key)[1]
+
+
+@pytest.mark.parametrize("key", [k for k in REPORTS if k.startswith("q10")])
+def test_eligible_coverage_shuffles_twice(planned, key):
+    assert planned(key)[1].count("Exchange hashpartitioning") == 2

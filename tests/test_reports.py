@@ -5,8 +5,10 @@ import math
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from commitlens.plans import REPORTS
+from commitlens.operators.scope import since
+from commitlens.plans import REPORTS, opportunity, savings, sizing
 from commitlens.sources.fixture import AS_OF
 
 AS_OF_DATE = dt.date.fromisoformat(AS_OF)
@@ -106,14 +108,17 @@ ORDER = {
 @pytest.mark.parametrize("key", ORDER)
 def test_reports_are_in_falling_order(rows, key):
     found = [r[ORDER[key]] for r in rows(key)]
-    assert found and found == sorted(found, reverse=True)
+    assert found and found == sorted(found, key=lambda v: (v is not None, v or 0), reverse=True)
 
 
 def test_orders_of_several_columns(rows):
-    trend = [(r["UsageDate"], r["DailySavings"]) for r in rows("q07_daily_trend")]
+    trend = [
+        (r["UsageDate"], r["DailySavings"] is not None, r["DailySavings"] or 0)
+        for r in rows("q07_daily_trend")
+    ]
     assert trend == sorted(trend, reverse=True)
     shares = [
-        (r["ProviderName"], r["ServiceCategory"], -r["TotalEffectiveCost"])
+        (r["ProviderName"] or "", r["ServiceCategory"], r["TotalEffectiveCost"] is None, -(r["TotalEffectiveCost"] or 0))
         for r in rows("q04_coverage_by_pricing_category")
     ]
     assert shares == sorted(shares)
@@ -124,3 +129,21 @@ def test_rolling_reports_default_to_the_current_date(spark, stored):
     today = dt.date.today()
     report = REPORTS["q02_coverage_summary"]
     assert report(stored).collect() == report(stored, today).collect()
+
+
+def test_three_months_want_ninety_days(stored):
+    with pytest.raises(ValueError, match="90"):
+        savings.top_services(stored, since("2025-10-01"))
+
+
+def test_discounts_are_parameters(stored):
+    usual = {tuple(r)[:4]: r for r in opportunity.savings_opportunity(stored).collect()}
+    for r in opportunity.savings_opportunity(stored, discounts=(0.5, 0.75)).collect():
+        assert r.EstimatedSavings25Pct == pytest.approx(2 * usual[tuple(r)[:4]].EstimatedSavings25Pct)
+        assert r.EstimatedSavings30Pct == pytest.approx(2.5 * usual[tuple(r)[:4]].EstimatedSavings30Pct)
+    plan, half = (sizing.savings_plan_sizing(stored, discount=d).first() for d in (0.25, 0.125))
+    assert half.Total_P50_EstimatedAnnualSavings == pytest.approx(plan.Total_P50_EstimatedAnnualSavings / 2)
+    usual = {tuple(r)[:3]: r for r in sizing.storage_reservations(stored).collect()}
+    for r in sizing.storage_reservations(stored, discounts=(0.5, 0.19)).collect():
+        assert r.EstSavings_1yr_25pct == pytest.approx(2 * usual[tuple(r)[:3]].EstSavings_1yr_25pct)
+        assert r.EstSavings_3yr_38pct == pytest.approx(usual[tuple(r)[:3]].EstSavings_3yr_38pct / 2)
