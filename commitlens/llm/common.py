@@ -44,6 +44,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def modest_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lets Spark send Python workers at most ``size`` bytes at once, for tasks that hold much besides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(size))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. Pure ASCII, the common case, takes the faster function."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
