@@ -49,6 +49,13 @@ class LineIndex:
     def holders(self) -> DataFrame:
         return reduce(DataFrame.unionAll, self.runs())
 
+    def drop(self) -> None:
+        """Gives the runs' storage back; an index that later batches go on with is kept instead."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
     def _written(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = run.select("key", "holder").repartition(self.buckets, "key")
@@ -116,6 +123,8 @@ def line_dedup(
     by_text = dropped.groupBy(keys["holder"].alias("in_holder"), F.col("version").alias("in_version")).agg(
         F.collect_set("pos").alias("gone")
     )
+    by_text = stored(by_text, "dropped-lines")
+    index.drop()
     # The row travels as one column, so that its names can't clash with those used here.
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(
