@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import stored
-from commitlens.llm.vectors import QUERY_BLOCK, batches_of, best_of, classes, matrix, same_width, usable
+from commitlens.llm.vectors import QUERY_BLOCK, Best, batches_of, best_of, classes, matrix, same_width, usable
 
 
 @dataclass(frozen=True)
@@ -248,23 +248,30 @@ def nearest(
     probes = probes.select("list", F.col("rows.vector").alias("query"), F.col("rows.id").alias("query_id"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        best = Best(k)
         for batch in batches:
             for q, qid, v, ids in zip(*batch.columns, strict=True):
-                members = ids.as_py()
-                scores = np.dot(*(m if i == 0 else m.T for i, m in enumerate(same_width(matrix(q.values), matrix(v.values)))))
+                left, right = same_width(matrix(q.values), matrix(v.values))
+                scores = left @ right.T
+                names = np.asarray(qid.values)
+                at = best.places(names)
+                # Of each query the k + 1 best classes, unless better ones are known: one may be its own.
                 keep = min(k + 1, scores.shape[1])
-                # The best k + 1 classes, and those that tie with the last.
                 last = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                single = all(len(m) == 1 for m in members)
-                flat = np.array([m[0] for m in members], np.int64)
-                row, at = np.nonzero(scores >= last[:, None])
-                names = np.asarray(qid.values)
-                if single:
-                    other = flat[at] != names[row]
-                    yield names[row][other], flat[at][other], scores[row, at][other]
-                else:
-                    found = [(names[i], m, scores[i, j]) for i, j in zip(row.tolist(), at.tolist(), strict=True) for m in members[j] if m != names[i]]
-                    yield tuple(np.array([f[c] for f in found], t) for c, t in enumerate((np.int64, np.int64, np.float64)))
+                row, column = np.nonzero(scores >= np.maximum(last, best.floors[at])[:, None])
+                members = ids.values
+                many = np.diff(np.asarray(members.offsets))
+                first = np.asarray(members.offsets)[:-1] - np.asarray(members.offsets)[0]
+                each = many[column]
+                row, column = np.repeat(row, each), np.repeat(column, each)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                found = np.asarray(members.flatten())[first[column] + nth]
+                other = found != names[row]
+                row, column, found = row[other], column[other], found[other]
+                best.add(at[row], found, scores[row, column])
+                if best.full:
+                    yield best.give()
+        yield best.give()
 
     met = probes.join(lists, "list").select("query", "query_id", "vector", "ids")
     found = met.mapInArrow(lambda b: batches_of(score(b), ["query_id", "vec_id", "score"]), "query_id long, vec_id long, score double")

@@ -70,6 +70,68 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     )
 
 
+class Best:
+    """The ``k`` best entries of each query that a task has seen so far, ties to smaller ids.
+
+    What can't be among them any more isn't kept, so a task gives ``k`` rows a query however many
+    lists it meets. ``full`` says when the queries are so many that a task should give them out.
+    """
+
+    def __init__(self, k: int, most_queries: int = 20_000, most_rows: int = 500_000) -> None:
+        self.k, self.most_queries, self.most_rows = k, most_queries, most_rows
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.names, self.floors = np.zeros(0, np.int64), np.zeros(0)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def places(self, queries: np.ndarray) -> np.ndarray:
+        at = np.array([self.place.setdefault(q, len(self.place)) for q in queries.tolist()], np.int64)
+        if len(self.place) > len(self.names):
+            more = len(self.place) - len(self.names)
+            self.names = np.fromiter(self.place, np.int64, len(self.place))
+            self.floors = np.concatenate([self.floors, np.full(more, -np.inf)])
+        return at
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.held.append((at, ids, scores))
+        self.rows += len(at)
+        if self.rows > self.most_rows:
+            self.shrink()
+
+    def shrink(self) -> None:
+        at, ids, scores = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        # An entry met in several lists counts once, though its score may differ in the last bit.
+        order = np.lexsort((-scores, ids, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
+        at, ids, scores = at[new], ids[new], scores[new]
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        last = rank == self.k - 1
+        self.floors[at[last]] = scores[last]
+        kept = rank < self.k
+        self.held = [(at[kept], ids[kept], scores[kept])]
+        self.rows = int(kept.sum())
+
+    @property
+    def full(self) -> bool:
+        return len(self.place) > self.most_queries
+
+    def give(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        self.shrink()
+        at, ids, scores = self.held[0]
+        out = self.names[at], ids, scores
+        self.clear()
+        return out
+
+
 def top_mask(scores: np.ndarray, k: int) -> np.ndarray:
     """For each row, where its ``k`` highest scores are, all ties of the last included."""
     if scores.shape[1] <= k:

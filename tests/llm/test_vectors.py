@@ -6,6 +6,7 @@ import pytest
 
 from commitlens.llm.postings import Options, fit, nearest
 from commitlens.llm.topk import top_k
+from commitlens.llm.vectors import Best
 
 VECTORS = "vec_id long, embedding array<double>, label int, score string, rank string"
 
@@ -109,3 +110,23 @@ def test_lists_are_balanced_and_the_graph_reaches_all():
     first, _ = index.search(points, 8)
     assert (first[:, 0] == exact.argmin(1)).mean() > 0.95
     assert np.bincount(first[:, 0], minlength=len(index.centers)).max() < 300
+
+
+def test_best_entries_of_a_task():
+    rng = np.random.default_rng(5)
+    best = Best(3, most_queries=10, most_rows=40)
+    want, got = {}, {}
+    for _ in range(60):
+        names = rng.integers(0, 9, 5)
+        at = best.places(np.unique(names))
+        row = rng.integers(0, len(at), 30)
+        ids, scores = rng.integers(0, 50, 30), rng.integers(0, 20, 30).astype(float)
+        for r, i, s in zip(row, ids, scores, strict=True):
+            entries = want.setdefault(int(np.unique(names)[r]), {})
+            entries[int(i)] = max(s, entries.get(int(i), -1))
+        keep = scores >= best.floors[at[row]]
+        best.add(at[row][keep], ids[keep], scores[keep])
+    for q, i, s in zip(*best.give(), strict=True):
+        got.setdefault(int(q), []).append((int(i), s))
+    assert got == {q: sorted(e.items(), key=lambda x: (-x[1], x[0]))[:3] for q, e in want.items()}
+    assert not best.held and len(best.give()[0]) == 0
