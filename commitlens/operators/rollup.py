@@ -23,18 +23,11 @@ DAILY_MEASURES = {"effective": "EffectiveCost", "list": "ListCost", "contracted"
 def daily_rollup(charges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per day with charges (and ``keys``): total and uncovered sums of each cost.
 
-    A day without a charge has no row. The two sides are told apart as a group of the first step,
-    so that a charge is added to one exact sum per cost and not to two; the second step sees two
-    rows per day.
+    A day without a charge has no row. Both sums of a cost are made in one step, hence one shuffle.
     """
-    by_side = charges.groupBy(*keys, usage_day().alias("usage_day"), is_unnamed().alias("uncovered"))
-    sums = by_side.agg(*[F.sum(m).alias(name) for name, m in DAILY_MEASURES.items()])
-    return sums.groupBy(*keys, "usage_day").agg(
-        *[F.sum(name).alias(f"daily_total_{name}") for name in DAILY_MEASURES],
-        *[
-            sum_where(F.col("uncovered"), name).alias(f"daily_uncovered_{name}")
-            for name in DAILY_MEASURES
-        ],
+    return charges.groupBy(*keys, usage_day().alias("usage_day")).agg(
+        *[F.sum(m).alias(f"daily_total_{name}") for name, m in DAILY_MEASURES.items()],
+        *[sum_where(is_unnamed(), m).alias(f"daily_uncovered_{name}") for name, m in DAILY_MEASURES.items()],
     )
 
 
