@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.llm.common import stored
+from commitlens.llm.common import modest_batches, stored
 
 RANK_BITS = 48
 BROADCAST_BYTES = 32 << 20
@@ -98,6 +98,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     rows are several pieces. Columns named ``sequence_id`` or ``offset`` are replaced. An empty
     table gives an empty result.
     """
+    modest_batches(pieces.sparkSession)
     own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     # The row travels as one column, so that its names can't clash with those used here.
     rows = pieces.select(F.struct(*own).alias("row"), F.col(length_col).cast("long").alias("size"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import text_parts
+from commitlens.llm.common import modest_batches, text_parts
 
 SLOTS = 1 << 14
 SAMPLE_ROWS = 20_000
@@ -250,6 +250,7 @@ def classify(
     Repeated rows are scored alike. Columns named ``quality`` or ``accepted`` are replaced, others
     stay as they are. An empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     model = model or fit(docs, id_col=id_col, text_col=text_col, **options)
     weights, bias = model.weights, model.bias
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import new_folder, partitions, stored
+from commitlens.llm.common import modest_batches, new_folder, partitions, stored
 from commitlens.llm.tokens import BATCH_BYTES, ID, encoder
 
 MAGIC = b"PFORIDS1"
@@ -198,6 +198,7 @@ def write_token_files(
         row = [[context.partitionId()], [path], [len(writer.docs)], [writer.ids]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["part", "path", "docs", "ids"])
 
+    modest_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     ordered = texts.repartitionByRange(partitions(docs.sparkSession), *order)

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from commitlens.llm.common import modest_batches
+
 ID = np.dtype("<u4")
-KEPT_WORDS = 1_000_000  # about 200 MB in a Python worker
+KEPT_WORDS = 400_000  # about 100 MB in a Python worker
 PART = 1 << 18  # characters of a long text that are encoded at once
 BATCH_BYTES = 4 << 20
 _RUN = re.compile(r"\S(?=\s)")
@@ -131,6 +133,7 @@ def token_pieces(
     a piece. A null text is empty: the end id alone. Null ids and repeated rows are documents like
     others, other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     end = np.array([end_id], ID).tobytes()
     size = ID.itemsize
 
