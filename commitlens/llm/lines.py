@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from commitlens.llm.common import SPACE, ascii_lower, partitions, stored
 
+BUCKET_ROWS = 250_000  # lines for each bucket of a run, so that runs aren't many small files
 LAST = (1 << 63) - 1  # stands for a null id: such documents come after all others
 
 
@@ -113,7 +114,8 @@ def line_dedup(
     shares = [i / batches for i in range(1, batches)]
     bounds = keys.agg(F.percentile_approx("holder", shares, 1000)).first()[0] or []
     bounds = sorted(set(bounds))
-    index = LineIndex(spark, partitions(spark), fanout)
+    buckets = min(partitions(spark), max(1, -(-keys.count() // BUCKET_ROWS)))
+    index = LineIndex(spark, buckets, fanout)
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         batch = keys if low is None else keys.filter(F.col("holder") > low)
         index.add(batch if high is None else batch.filter(F.col("holder") <= high))
