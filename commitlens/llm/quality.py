@@ -132,7 +132,7 @@ def features(found: Measures) -> tuple[np.ndarray, np.ndarray]:
     that each measure reaches."""
     total: Counter = Counter()
     for shape, n in found.shapes.items():
-        total[zlib.crc32(_RUN.sub(rb"\1\1", shape)[:32]) % SLOTS] += n
+        total[zlib.crc32(_RUN.sub(rb"\1\1", shape)) % SLOTS] += n
     slots = list(total)
     values = [(n / max(found.words, 1)) ** 0.5 for n in total.values()]
     for name, value in found.values.items():

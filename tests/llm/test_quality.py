@@ -77,3 +77,9 @@ def test_scorer_learns_soft_labels():
     weights, bias = quality.train(rows, target)
     guessed = np.array([values @ weights[slots] + bias for slots, values in rows])
     assert ((guessed > 0) == (target > 0.5)).all()
+
+
+def test_shapes_that_differ_late_are_features_of_their_own():
+    common = "a1" * 40
+    found = [quality.features(quality.measure(f"{common}{end}".encode()))[0][0] for end in ("", "#", "#A")]
+    assert len(set(found)) == 3
