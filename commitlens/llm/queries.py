@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import contextmix, lines, mixing, packing, postings, quality, simhash, tokenfiles, tokens, topk, warc
+from commitlens.llm import contextmix, lines, mixing, packing, postings, quality, simhash, tokenfiles, tokens, topk, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    each = found.select("*", F.posexplode("whitened").alias("at", "value"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
+        F.col("value").alias("whitened"), F.col("explained")[F.col("at")].alias("explained"), "identity_error",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_posting_lists": op8_posting_lists,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
 }
 
 _WORDS = r"""coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"""
