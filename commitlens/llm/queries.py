@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import contextmix, lines, mixing, packing, postings, quality, simhash, tokenfiles, tokens, topk, warc, whitening
+from commitlens.llm import contextmix, lines, mixing, packing, phrases, postings, quality, simhash, tokenfiles, tokens, topk, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"), least=30, top=2000, share=80)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
 }
 
 _WORDS = r"""coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"""
@@ -176,4 +181,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM latest
 """
 
-SQL: dict[str, str] = {"op1_mixing": _OP1, "op4_line_dedup": _OP4, "op5_exact_top_k": _OP5, "op7_warc": _OP7}
+# Occurrences of one to four words, by their place in a piece.
+_OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM pieces
+), starts AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS start FROM worded
+), grams AS (
+    SELECT lang, size, words[start : start + size - 1] AS phrase, count(*) AS a
+    FROM starts CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS size)
+    WHERE start + size - 1 <= len(words) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang
+), known AS (
+    SELECT * FROM grams WHERE a >= 30
+), inside AS (
+    SELECT DISTINCT x.lang, x.part FROM (
+        SELECT k.lang, k.a AS longer, unnest(flatten(list_transform(range(2, k.size),
+            lambda s: list_transform(range(1, k.size - s + 2), lambda b: k.phrase[b : b + s - 1])))) AS part
+        FROM known k WHERE k.size > 2
+    ) x JOIN known c ON c.lang = x.lang AND c.phrase = x.part WHERE 100 * longer >= 80 * c.a
+), cuts AS (
+    SELECT k.*, unnest(range(1, k.size)) AS k FROM known k
+    WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = k.lang AND i.part = k.phrase)
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, h.a AS l, t.a AS r, ((2000000 * c.a::HUGEINT) // (h.a + t.a))::BIGINT AS score
+    FROM cuts c JOIN known h ON h.lang = c.lang AND h.phrase = c.phrase[1 : c.k]
+        JOIN known t ON t.lang = c.lang AND t.phrase = c.phrase[c.k + 1 : c.size]
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, array_to_string(phrase, ' ') AS shown, (row_number() OVER (PARTITION BY lang
+        ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')))::BIGINT AS rank
+    FROM lowest
+)
+SELECT lang, rank, shown AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {
+    "op1_mixing": _OP1, "op4_line_dedup": _OP4, "op5_exact_top_k": _OP5, "op7_warc": _OP7, "op12_collocations": _OP12,
+}

@@ -1,0 +1,121 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from commitlens.llm import phrases as module
+from commitlens.llm.phrases import Chunk, phrases
+
+DOCUMENTS = "doc_id long, text string, lang string, phrase string, score string, words string, n string"
+
+
+def table(spark, rows, parts=4):
+    return spark.createDataFrame([(i, t, g, "x", "x", "x", "x") for i, (t, g) in enumerate(rows)], DOCUMENTS).repartition(parts)
+
+
+def brute(rows, least, top, share):
+    """The contract with Python's own counters; phrases inside any longer one, not only the next longer."""
+    counts, n = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower):
+            words = [w for w in re.split("[ \t]", piece) if w]
+            n[lang] += len(words)
+            for size in (1, 2, 3, 4):
+                for i in range(len(words) - size + 1):
+                    counts.setdefault(lang, Counter())[tuple(words[i : i + size])] += 1
+    out = []
+    for lang, f in counts.items():
+        good = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        dropped = {
+            q[i : i + s]
+            for q, longer in good.items()
+            for s in range(2, len(q))
+            for i in range(len(q) - s + 1)
+            if 100 * longer >= share * f[q[i : i + s]]
+        }
+        found = []
+        for p, a in good.items():
+            if p not in dropped:
+                score, _, left, right = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def got(df):
+    return sorted(map(tuple, df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+
+
+def corpus(seed=4, n=400):
+    rnd = random.Random(seed)
+    words = ["of", "the", "The", "été", "a-b", "x", "y", "z", "New", "York", "\x00", "\x1c", "ÉTÉ", "q" * 40]
+    marks = [" ", " ", " ", " ", " ", ", ", ".", "\n", "\t", "  ", "\x0b", "?", " \xa0 "]
+    rows = []
+    for _ in range(n):
+        text = "".join(rnd.choice(words) + rnd.choice(marks) for _ in range(rnd.randrange(1, 40)))
+        rows.append((text.replace("x y", "x y z of"), rnd.choice(["en", "en", "en", "fr", None, "und", ""])))
+    rows += [("one very common passage of words", "en")] * 150
+    rows += [(None, "en"), ("", "fr"), (" \t ", None), ("...", "de"), ("the the the the the", "en"), ("word", "xx")]
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("least", "top", "share"), [(30, 2000, 80), (2, 50, 80), (5, 7, 50), (1, 3, 100)])
+def test_phrases_equal_brute_force(spark, least, top, share):
+    rows = corpus(n=400 if least > 2 else 60)
+    assert got(phrases(table(spark, rows), least, top, share)) == brute(rows, least, top, share)
+
+
+@pytest.mark.parametrize("size", [3, 700])
+def test_small_chunks_and_many_buckets(spark, monkeypatch, size):
+    """However little a task holds at once, and into however many buckets counts are dealt."""
+    rows = corpus(seed=8)
+    monkeypatch.setattr(module, "WORDS_A_BUCKET", size)
+    assert got(phrases(table(spark, rows, 2), 20, 100, 80, size=size)) == brute(rows, 20, 100, 80)
+
+
+def test_full_filters_change_nothing(spark, monkeypatch):
+    """Where every hash may be frequent, the counts alone decide."""
+    rows = corpus(seed=9, n=100)
+    full = spark.sparkContext.broadcast(np.full((1 << module.FILTER_BITS) // 8, 255, np.uint8))
+    monkeypatch.setattr(module, "hash_filter", lambda hashes: full)
+    assert got(phrases(table(spark, rows), 5, 100, 80)) == brute(rows, 5, 100, 80)
+
+
+def test_a_filter_holds_all_its_hashes(spark):
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("hash"))
+    bitmap = module.hash_filter(hashes).value
+    held = np.array([r.hash for r in hashes.collect()]).view(np.uint64)
+    assert module._may_be(bitmap, held).all()
+    others = np.array([r.hash for r in spark.range(5000, 10000).select(F.xxhash64("id").alias("hash")).collect()]).view(np.uint64)
+    assert module._may_be(bitmap, others).sum() < 10
+
+
+def test_hashes_are_those_of_spark(spark):
+    words = ["a", "Ä", "four", "eight888", "x" * 31, "y" * 32, "z" * 77, "日本語"]
+    chunk = Chunk()
+    for lang in ("en", "und", ""):
+        chunk.add(lang, " ".join(words).lower().encode())
+    named = [(g, w.decode()) for g, w in zip(chunk.langs, chunk.words, strict=True) if w != b"\xff"]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(named)], "i int, lang string, word string")
+    theirs = [r.h for r in frame.select("i", F.xxhash64("lang", "word").alias("h")).orderBy("i").collect()]
+    assert chunk.hashes()[1:].view(np.int64).tolist() == theirs
+
+
+def test_nothing_to_count(spark):
+    for rows in ([], [(None, None)], [("a b", "en")]):
+        found = phrases(table(spark, rows))
+        assert found.collect() == []
+        assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_a_very_long_text(spark):
+    text = "alpha beta " * 200_000 + "gamma. " + "delta epsilon zeta, " * 60_000
+    rows = [(text, "en"), ("alpha beta", "en")]
+    assert got(phrases(table(spark, rows), 30, 20, 80)) == brute(rows, 30, 20, 80)
