@@ -1,16 +1,17 @@
 """Phrase collocations from stripes: next-word counters of prefixes, merged element by element.
 
-Phrases are counted in three readings of the texts. The first counts words. The second counts
-hashes of pairs of frequent words, which tells the pairs that may be frequent. The third counts, as
-whole words, phrases all of whose pairs may be: a phrase occurs at most as often as each part of it,
-so none that is frequent is left out, and what the hashes let through in error is dropped by its count.
+Phrases are counted in four readings of the texts. The first counts words. The second counts
+hashes of pairs of frequent words, which tells the pairs that may be frequent; the third does so for
+triples of such pairs. The fourth counts, as whole words, phrases all of whose pairs and triples may be:
+a phrase occurs at most as often as each part of it, so none that is frequent is left out, and what
+the hashes let through in error is dropped by its count.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +121,6 @@ def word_counts(texts: DataFrame, least: int, size: int = CHUNK) -> DataFrame:
     return stored(counted.filter(F.col("word").isNull() | (F.col("a") >= least)), "words")
 
 
-def _bucket_bits(words: DataFrame) -> int:
-    total = words.filter("word IS NULL").agg(F.sum("a")).first()[0] or 0
-    return min(MOST_BUCKET_BITS, (total // WORDS_A_BUCKET).bit_length())
-
-
 def hash_filter(hashes: DataFrame) -> Broadcast:
     """A bitmap of fixed size that says which values of ``hash`` may be in ``hashes``."""
     place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
@@ -148,26 +144,23 @@ def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed * np.uint64(0x94D049BB133111EB)
 
 
-def frequent_pairs(texts: DataFrame, words: DataFrame, least: int, size: int = CHUNK) -> DataFrame:
-    """``hash`` of every pair of words that occurs ``least`` times, and perhaps of a few others.
+def frequent_hashes(
+    texts: DataFrame, least: int, bits: int, size: int, hashed: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> DataFrame:
+    """Each ``hash`` of phrases that occur ``least`` times, and perhaps a few others.
 
-    A task counts hashes and gives them out in buckets by their leading bits; a bucket takes up the
-    next 32 bits, so different pairs seldom meet, and if they do the pair counts as more frequent than it is.
+    ``hashed`` gives the hashes to count from word numbers and their hashes. A task gives out its
+    counts in buckets by the leading ``bits``; a bucket takes up the next 32, so different phrases seldom
+    meet, and if they do a phrase counts as more frequent than it is.
     """
-    bits = _bucket_bits(words)
-    frequent = hash_filter(words.filter("word IS NOT NULL").select(F.xxhash64("lang", "word").alias("hash")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, size):
-            at, hashes = chunk.at(), chunk.hashes()
-            good = _may_be(frequent.value, hashes)
-            good[0] = False
-            both = np.flatnonzero(good[at[:-1]] & good[at[1:]])
-            pairs, counts = np.unique(_pair_hashes(hashes[at[both]], hashes[at[both + 1]]), return_counts=True)
-            buckets = (pairs >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(pairs), np.int32)
-            keys, counts = (pairs >> np.uint64(32 - bits)).astype(np.uint32), counts.astype(np.uint32)
+            found, counts = np.unique(hashed(chunk.at(), chunk.hashes()), return_counts=True)
+            buckets = (found >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(found), np.int32)
+            keys, counts = (found >> np.uint64(32 - bits)).astype(np.uint32), counts.astype(np.uint32)
             names, starts = np.unique(buckets, return_index=True)
-            cuts = [*starts.tolist(), len(pairs)]
+            cuts = [*starts.tolist(), len(found)]
             slices = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
             columns = [pa.array([c[s].tobytes() for s in slices], pa.binary()) for c in (keys, counts)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], ["bucket", "keys", "counts"])
@@ -183,81 +176,97 @@ def frequent_pairs(texts: DataFrame, words: DataFrame, least: int, size: int = C
         return pa.table({"hash": hashes.view(np.int64)})
 
     counted = texts.mapInArrow(count, "bucket int, keys binary, counts binary")
-    return counted.groupBy("bucket").applyInArrow(merge, "hash long")
+    return stored(counted.groupBy("bucket").applyInArrow(merge, "hash long"), "frequent")
+
+
+def _pairs(at: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs of words begin that may be frequent, by place, and the hashes of pairs there."""
+    pair, found = np.zeros(len(at), bool), np.zeros(len(at), np.uint64)
+    inner = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+    found[inner] = _pair_hashes(hashes[at[inner]], hashes[at[inner + 1]])
+    pair[inner] = _may_be(known, found[inner])
+    return pair, found
+
 
+def _triples(at: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where triples of two such pairs begin, and their hashes."""
+    pair, found = _pairs(at, hashes, known)
+    places = np.flatnonzero(pair[:-1] & pair[1:])
+    return places, _pair_hashes(found[places], hashes[at[places + 2]])
 
-def _grown(at: np.ndarray, places: np.ndarray, prefix: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different phrases: a prefix's number and the next word, how often, and the phrase number of each place."""
-    codes = prefix.astype(np.int64) << 32 | at[places + words]
-    return np.unique(codes, return_inverse=True, return_counts=True)
 
+_STRIPE = pa.struct(
+    [("lang", pa.string()), ("prefix", pa.string()), ("words", pa.int32()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+)
 
-def _stripes(chunk: Chunk, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counters of the next words of all prefixes of one to three words."""
+
+def _stripes(chunk: Chunk, pairs: np.ndarray, triples: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Counters of the next words of all prefixes of one to three words, by bucket."""
     at, hashes = chunk.at(), chunk.hashes()
+    pair, _ = _pairs(at, hashes, pairs)
+    triple = np.zeros(len(at), bool)
+    places, found = _triples(at, hashes, pairs)
+    triple[places] = _may_be(triples, found)
+    four = triple & np.append(triple[1:], False)
+
     word = np.array([w.decode() for w in [b"", *chunk.words[1:]]], object)
-    pair = np.zeros(len(at), bool)
-    inner = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
-    pair[inner] = _may_be(frequent, _pair_hashes(hashes[at[inner]], hashes[at[inner + 1]]))
-    places = np.flatnonzero(pair)
-    prefix, names, langs = at[places], word, np.array(chunk.langs, object)
-    for words in (1, 2, 3):
-        if not len(places):
-            return
-        codes, number, counts = _grown(at, places, prefix, words)
-        number = number.ravel()
+    names, langs, prefix = word, np.array(chunk.langs, object), at.astype(np.int64)
+    dealt, made = [], []
+    for words, begins in ((1, pair), (2, triple), (3, four)):
+        places = np.flatnonzero(begins)
+        codes, number, counts = np.unique(prefix[places] << 32 | at[places + words], return_inverse=True, return_counts=True)
         before, following = codes >> 32, codes & 0xFFFFFFFF
         # A prefix's counter is cut into parts by the next word, and parts are dealt to buckets.
         part = (hashes[following] % np.uint64(STRIPE_PARTS)).astype(np.int64)
         order = np.lexsort((part, before))
-        before, following, part, counts_ = before[order], following[order], part[order], counts[order]
-        new = np.flatnonzero(np.diff(before, prepend=-1) | np.diff(part, prepend=-1))
-        offsets = np.append(new, len(before)).astype(np.int32)
-        prefixes, languages = names[before[new]], langs[before[new]]
-        bucket = [xxhash.xxh64_intdigest(p, s) % buckets for p, s in zip(prefixes.tolist(), part[new].tolist(), strict=True)]
-        nexts = pa.ListArray.from_arrays(offsets, pa.array(word[following], pa.string()))
-        many = pa.ListArray.from_arrays(offsets, pa.array(counts_, pa.int64()))
-        columns = [pa.array(bucket, pa.int32()), pa.array(languages, pa.string()), pa.array(prefixes, pa.string()), pa.array([words] * len(new), pa.int32()), nexts, many]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "prefix", "words", "nexts", "counts"])
-        # Phrases of one word more start where the pair at their end may be frequent too.
-        names, langs = names[codes >> 32] + " " + word[codes & 0xFFFFFFFF], langs[codes >> 32]
-        longer = pair[places + words]
-        places, prefix = places[longer], number[longer]
-
-
-def stripes(texts: DataFrame, words: DataFrame, pairs: DataFrame, least: int, size: int = CHUNK) -> DataFrame:
+        first, then, part, many = before[order], following[order], part[order], counts[order]
+        new = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        offsets = np.append(new, len(first)).astype(np.int32)
+        prefixes = names[first[new]]
+        dealt += [xxhash.xxh64_intdigest(p, s) % buckets for p, s in zip(prefixes.tolist(), part[new].tolist(), strict=True)]
+        nexts = pa.ListArray.from_arrays(offsets, pa.array(word[then], pa.string()))
+        columns = [pa.array(langs[first[new]], pa.string()), pa.array(prefixes, pa.string()), pa.array([words] * len(new), pa.int32())]
+        made.append(pa.StructArray.from_arrays([*columns, nexts, pa.ListArray.from_arrays(offsets, pa.array(many, pa.int64()))], fields=list(_STRIPE)))
+        # The phrases found are the prefixes of longer ones.
+        names, langs = names[before] + " " + word[following], langs[before]
+        prefix = np.zeros(len(at), np.int64)
+        prefix[places] = number.ravel()
+    dealt = np.array(dealt, np.int32)
+    order = np.argsort(dealt, kind="stable")
+    named, starts = np.unique(dealt[order], return_index=True)
+    held = pa.ListArray.from_arrays(np.append(starts, len(dealt)).astype(np.int32), pa.concat_arrays(made).take(pa.array(order)))
+    return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), held], ["bucket", "stripes"])
+
+
+def stripes(texts: DataFrame, pairs: Broadcast, triples: Broadcast, least: int, bits: int, size: int) -> DataFrame:
     """``lang``, ``prefix`` of ``words`` words, ``nexts`` and ``counts``: what follows it ``least`` times.
 
-    Parts of counters from all tasks are added up element by element. A prefix whose counter is
-    large has several rows with different next words.
+    Parts of counters from all tasks are added up element by element, in 2 ** ``bits`` buckets. A prefix
+    whose counter is large has several rows with different next words.
     """
-    frequent, buckets = hash_filter(pairs), 1 << _bucket_bits(words)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, size):
-            yield from _stripes(chunk, frequent.value, buckets)
+            yield _stripes(chunk, pairs.value, triples.value, 1 << bits)
 
     def merge(table: pa.Table) -> pa.Table:
-        merged: dict[tuple, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        columns = [table.column(c).to_pylist() for c in ("lang", "prefix", "words", "nexts", "counts")]
-        for lang, prefix, words, nexts, counts in zip(*columns, strict=True):
-            stripe = merged[lang, prefix, words]
-            for word, n in zip(nexts, counts, strict=True):
-                stripe[word] += n
+        merged: dict[tuple, dict[str, int]] = {}
+        for piece in table.column("stripes").chunks:
+            columns = [c.to_pylist() for c in piece.flatten().flatten()]
+            for lang, prefix, words, nexts, counts in zip(*columns, strict=True):
+                stripe = merged.get((lang, prefix, words))
+                if stripe is None:
+                    merged[lang, prefix, words] = dict(zip(nexts, counts, strict=True))
+                else:
+                    for word, n in zip(nexts, counts, strict=True):
+                        stripe[word] = stripe.get(word, 0) + n
         rows = [(*key, kept) for key, s in merged.items() if (kept := {w: n for w, n in s.items() if n >= least})]
-        return pa.table(
-            {
-                "lang": pa.array([r[0] for r in rows], pa.string()),
-                "prefix": pa.array([r[1] for r in rows], pa.string()),
-                "words": pa.array([r[2] for r in rows], pa.int32()),
-                "nexts": pa.array([list(r[3]) for r in rows], pa.list_(pa.string())),
-                "counts": pa.array([list(r[3].values()) for r in rows], pa.list_(pa.int64())),
-            }
-        )
+        columns = [*zip(*[r[:3] for r in rows], strict=True)] or [(), (), ()]
+        counters = [[list(r[3]) for r in rows], [list(r[3].values()) for r in rows]]
+        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_STRIPE, [*columns, *counters], strict=True)})
 
-    counted = texts.mapInArrow(count, "bucket int, lang string, prefix string, words int, nexts array<string>, counts array<long>")
-    merged = counted.groupBy("bucket").applyInArrow(merge, "lang string, prefix string, words int, nexts array<string>, counts array<long>")
-    return stored(merged, "stripes")
+    kind = "lang: string, prefix: string, words: int, nexts: array<string>, counts: array<bigint>"
+    counted = texts.mapInArrow(count, f"bucket int, stripes array<struct<{kind}>>")
+    return stored(counted.groupBy("bucket").applyInArrow(merge, kind.replace(":", "")), "stripes")
 
 
 def _times(count: str, factor: int) -> Column:
@@ -285,14 +294,25 @@ def phrases(
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     texts = docs.select(lang, F.col(text_col).cast("string").cast("binary").alias("text"))
     words = word_counts(texts, least, size)
-    pairs = stored(frequent_pairs(texts, words, least, size), "pairs")
-    found = stripes(texts, words, pairs, least, size)
+    total = words.filter("word IS NULL").agg(F.sum("a")).first()[0] or 0
+    bits = min(MOST_BUCKET_BITS, (total // WORDS_A_BUCKET).bit_length())
+    frequent = hash_filter(words.filter("word IS NOT NULL").select(F.xxhash64("lang", "word").alias("hash")))
+
+    def of_pairs(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        good = _may_be(frequent.value, hashes)
+        good[0] = False
+        both = np.flatnonzero(good[at[:-1]] & good[at[1:]])
+        return _pair_hashes(hashes[at[both]], hashes[at[both + 1]])
+
+    pairs = hash_filter(frequent_hashes(texts, least, bits, size, of_pairs))
+    triples = hash_filter(frequent_hashes(texts, least, bits, size, lambda at, hashes: _triples(at, hashes, pairs.value)[1]))
+    found = stripes(texts, pairs, triples, least, bits, size)
 
     entry = F.explode(F.arrays_zip("nexts", "counts")).alias("entry")
     each = found.select("lang", "prefix", "words", entry).select(
         "lang", F.concat_ws(" ", "prefix", "entry.nexts").alias("phrase"), (F.col("words") + 1).alias("words"), F.col("entry.counts").alias("a")
     )
-    known = words.filter("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a").unionAll(each)
+    counts = words.filter("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a").unionAll(each)
     # If a longer phrase holds enough of a phrase's occurrences, so does one that is longer by one word at an end.
     by_next = found.filter("words > 1").select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("longer"))
     by_previous = each.filter("words > 2").select("lang", F.expr("substring(phrase, locate(' ', phrase) + 1)").alias("phrase"), F.col("a").alias("longer"))
@@ -304,7 +324,7 @@ def phrases(
         "*", F.expr("substring_index(phrase, ' ', k)").alias("head"), F.expr("substring_index(phrase, ' ', k - words)").alias("tail")
     )
     for side, count in (("head", "l"), ("tail", "r")):
-        cuts = cuts.join(known.select("lang", F.col("phrase").alias(side), F.col("a").alias(count)), ["lang", side])
+        cuts = cuts.join(counts.select("lang", F.col("phrase").alias(side), F.col("a").alias(count)), ["lang", side])
     # div gives whole numbers; the products are decimals.
     cuts = cuts.withColumn("twice", _times("a", 2_000_000)).withColumn("parts", _times("l", 1) + _times("r", 1))
     lowest = F.min(F.struct(F.expr("twice div parts").alias("score"), "k", "l", "r")).alias("cut")
