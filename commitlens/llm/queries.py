@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import contextmix, lines, mixing, packing, phrases, postings, quality, simhash, tokenfiles, tokens, topk, warc, whitening
+from commitlens.llm import contextmix, lines, mixing, packing, phrases, postings, quality, simhash, tokenfiles, tokens, topk, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +83,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(table(spark, sf_dir, "documents"), least=30, top=2000, share=80)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(~held_out)))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -96,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
     "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 _WORDS = r"""coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"""
