@@ -12,6 +12,7 @@ from commitlens.llm import contextmix, lines, mixing, packing, phrases, postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_CACHE = 256 << 20  # bytes of words and their ids in a Python worker that does little else
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +25,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = tokens.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY, length=2048)
+    pieces = tokens.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY, length=2048, cache_bytes=WORD_CACHE)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(pieces, capacity=2048)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = tokenfiles.token_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    read = tokenfiles.token_round_trip(table(spark, sf_dir, "documents"), VOCABULARY, cache_bytes=WORD_CACHE)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

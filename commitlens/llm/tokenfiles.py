@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import modest_batches, new_folder, partitions, stored
-from commitlens.llm.tokens import BATCH_BYTES, ID, encoder
+from commitlens.llm.tokens import BATCH_BYTES, CACHE_BYTES, ID, encoder
 
 MAGIC = b"PFORIDS1"
 BLOCK = 512
 PERCENTILE = 95
 HEADER = struct.Struct("<IBH")
+HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("count", "<u2")])
+EXCEPTION = 6  # bytes of a place and its high bits
 TRAILER = struct.Struct("<QQQQ8s")
 CHUNK = 512  # blocks that are packed or unpacked at once
 
@@ -48,47 +50,63 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     at = BLOCK * PERCENTILE // 100 - 1
     typical = np.partition(above, at, axis=1)[:, at]
     width = np.ceil(np.log2(typical.astype(np.float64) + 1)).astype(np.int64)
-    packed: list[bytes] = [b""] * len(table)
+    high = np.where(width[:, None] < 32, above >> np.minimum(width, 31).astype(np.uint32)[:, None], 0).astype(np.uint32)
+    row, place = np.nonzero(high)
+    count = np.bincount(row, minlength=len(table))
+    plane = BLOCK // 8
+    sizes = HEADER.size + width * plane + count * EXCEPTION
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    heads = np.zeros(len(table), HEAD)
+    heads["least"], heads["width"], heads["count"] = least, width, count
+    _spread(out, starts, heads.view(np.uint8).reshape(-1, HEADER.size))
     for w in np.unique(width):
         rows = np.nonzero(width == w)[0]
         planes = [np.packbits((above[rows] >> np.uint32(k)).astype(np.uint8) & 1, axis=1) for k in range(w)]
-        body = np.concatenate(planes, axis=1) if planes else np.zeros((len(rows), 0), np.uint8)
-        for row, data in zip(rows.tolist(), body, strict=True):
-            packed[row] = data.tobytes()
-    high = np.where(width[:, None] < 32, above >> np.minimum(width, 31).astype(np.uint32)[:, None], 0).astype(np.uint32)
-    blocks = []
-    for row in range(len(table)):
-        places = np.nonzero(high[row])[0]
-        head = HEADER.pack(int(least[row]), int(width[row]), len(places))
-        blocks.append(head + packed[row] + places.astype("<u2").tobytes() + high[row, places].astype("<u4").tobytes())
-    return blocks
+        if planes:
+            _spread(out, starts[rows] + HEADER.size, np.concatenate(planes, axis=1))
+    body = starts + HEADER.size + width * plane
+    nth = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    _spread(out, body[row] + 2 * nth, place.astype("<u2").view(np.uint8).reshape(-1, 2))
+    _spread(out, (body + 2 * count)[row] + 4 * nth, high[row, place].astype("<u4").view(np.uint8).reshape(-1, 4))
+    data = out.tobytes()
+    return [data[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+
+
+def _spread(out: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> None:
+    """Puts each of ``rows`` where it starts."""
+    out[starts[:, None] + np.arange(rows.shape[1])] = rows
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    return data[starts[:, None] + np.arange(size)]
 
 
 def decode_blocks(data: bytes, starts: list[int]) -> np.ndarray:
     """The ids of the blocks of ``data`` that begin at ``starts``."""
-    heads = [HEADER.unpack_from(data, s) for s in starts]
-    width = np.array([h[1] for h in heads], np.int64)
+    raw, at = np.frombuffer(data, np.uint8), np.array(starts, np.int64)
+    heads = _gathered(raw, at, HEADER.size).view(HEAD).ravel()
+    width, count = heads["width"].astype(np.int64), heads["count"].astype(np.int64)
     table = np.zeros((len(starts), BLOCK), np.uint32)
     plane = BLOCK // 8
     for w in np.unique(width):
         rows = np.nonzero(width == w)[0]
         if not w:
             continue
-        begins = [starts[r] + HEADER.size for r in rows]
-        body = b"".join(data[b : b + w * plane] for b in begins)
-        bits = np.frombuffer(body, np.uint8).reshape(len(rows), w, plane)
+        bits = _gathered(raw, at[rows] + HEADER.size, w * plane).reshape(len(rows), w, plane)
         values = np.zeros((len(rows), BLOCK), np.uint32)
         for k in range(w):
             values |= np.unpackbits(bits[:, k], axis=1).astype(np.uint32) << np.uint32(k)
         table[rows] = values
-    for row, (start, (least, w, count)) in enumerate(zip(starts, heads, strict=True)):
-        if count:
-            at = start + HEADER.size + w * plane
-            places = np.frombuffer(data, "<u2", count, at)
-            if places.max() >= BLOCK:
-                raise FileError("an exception lies outside its block")
-            table[row, places] |= np.frombuffer(data, "<u4", count, at + 2 * count) << np.uint32(w)
-        table[row] += np.uint32(least)
+    row = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    body = at + HEADER.size + width * plane
+    places = _gathered(raw, body[row] + 2 * nth, 2).view("<u2").ravel()
+    if places.max(initial=0) >= BLOCK:
+        raise FileError("an exception lies outside its block")
+    high = _gathered(raw, (body + 2 * count)[row] + 4 * nth, 4).view("<u4").ravel()
+    table[row, places] |= high << width[row].astype(np.uint32)
+    table += heads["least"][:, None]
     return table.ravel()
 
 
@@ -171,7 +189,8 @@ def read_documents(source: pa.NativeFile) -> Iterator[tuple[int | None, int, byt
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
     """Writes every document's ids and an end id in ascending id order; returns the list of files.
 
@@ -185,7 +204,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encode, end = encoder(vocabulary).encode, np.array([end_id], ID).tobytes()
+        encode, end = encoder(vocabulary, cache_bytes).encode, np.array([end_id], ID).tobytes()
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         path = f"{base}/ids-{context.partitionId():05d}-{context.taskAttemptId()}.pfor"

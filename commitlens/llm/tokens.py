@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,14 @@ from tokenizers import Tokenizer
 from commitlens.llm.common import modest_batches
 
 ID = np.dtype("<u4")
-KEPT_WORDS = 800_000  # about 180 MB in a Python worker
+CACHE_BYTES = 64 << 20  # what a Python worker keeps of words and their ids
+ENTRY_BYTES = 137  # of a word's place in a table and of its ids
 PART = 1 << 18  # characters of a long text that are encoded at once
 BATCH_BYTES = 4 << 20
 _RUN = re.compile(r"\S(?=\s)")
+# Latin letters, the same whatever edition of Unicode the library knows, and signs of ASCII but the apostrophe.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_LED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]{1,8})")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -34,37 +40,58 @@ class OddSpace(Exception):
 
 
 class Words(dict):
-    """Ids of words, as bytes, each encoded when first met. ``lead`` is what stands before a word."""
+    """Ids of words, as bytes, each encoded when first met. ``lead`` is what stands before a word.
 
-    def __init__(self, tokenizer: Tokenizer, lead: str) -> None:
+    What is kept is bounded in bytes, in two generations: once the younger has taken up half of them it
+    becomes the older, and what the older held is forgotten. A word met again goes to the younger.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, lead: str, limit: int) -> None:
         super().__init__()
         self.tokenizer, self.model, self.lead = tokenizer, tokenizer.model, lead
+        self.limit, self.held, self.old = limit // 2, 0, {}
         self.alphabet = byte_alphabet()
-        self.marks = {c: self.ids(c) for c in ",."}
+        self.mark = lead.translate(self.alphabet)
+        self.signs: dict[str, bytes] = {}
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.single = any(map(_LETTERS.fullmatch, self.added))  # then the library looks for them in every word
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         if word[0].isspace() or word[-1].isspace():
             raise OddSpace
-        if _plain(word):
-            # One piece for the vocabulary's pattern, so the merges alone decide.
-            piece = (self.lead + word).encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.model.tokenize(piece)], ID).tobytes()
-        elif word[-1] in self.marks and _plain(word[:-1]):
-            found = self[word[:-1]] + self.marks[word[-1]]
-        else:
-            found = self.ids(self.lead + word)
-        if len(self) >= KEPT_WORDS:
+        found = self.old.get(word) or self._encoded(word)
+        size = getsizeof(word) + len(found) + ENTRY_BYTES
+        if self.held + size > self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += size
         self[word] = found
         return found
 
+    def _encoded(self, word: str) -> bytes:
+        # A run of letters or of signs is one piece for the vocabulary's pattern, so the merges alone decide.
+        if _LETTERS.fullmatch(word) and not self.single:
+            return self._piece(self.mark, word)
+        led = _LED.fullmatch(word)
+        if led is None or any(t in word for t in self.added):
+            return self.ids(self.lead + word)
+        stem, signs = led.groups()
+        if signs not in self.signs:
+            if len(self.signs) >= 10_000:
+                self.signs.clear()
+            self.signs[signs] = self._piece("", signs)
+        return self[stem] + self.signs[signs]
+
+    def _piece(self, mark: str, run: str) -> bytes:
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+        return _packed([t.id for t in self.model.tokenize(mark + shown)])
+
 
-def _plain(word: str) -> bool:
-    """Latin letters only: one piece, whatever edition of Unicode the library knows."""
-    return word.isalpha() and max(word) < "ɐ"
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -76,9 +103,11 @@ class Encoder:
     other white space goes to the library as it is, in parts that end before white space.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.next = Words(self.tokenizer, ""), Words(self.tokenizer, " ")
+        # Few words begin a line.
+        self.first = Words(self.tokenizer, "", cache_bytes // 4)
+        self.next = Words(self.tokenizer, " ", cache_bytes - cache_bytes // 4)
         self.line_feed = self.first.ids("\n")
 
     def encode(self, text: str) -> bytes:
@@ -117,28 +146,29 @@ def _parts(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """One encoder a Python worker, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, cache_bytes)
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids`` of every document's ids and an end id.
 
     ``ids`` are little-endian unsigned 32-bit integers. Documents of more than ``length`` ids are
     cut into pieces of ``length``, of which the first may be shorter; ``start`` counts the ids before
     a piece. A null text is empty: the end id alone. Null ids and repeated rows are documents like
-    others, other columns are ignored.
+    others, other columns are ignored. A Python worker keeps ``cache_bytes`` of words and their ids.
     """
     modest_batches(docs.sparkSession)
     end = np.array([end_id], ID).tobytes()
     size = ID.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, cache_bytes).encode
         for batch in batches:
             rows: list[tuple] = []
             held = 0

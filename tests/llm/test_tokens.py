@@ -34,11 +34,16 @@ def test_encoder_equals_the_library(vocabulary, library, monkeypatch):
             assert np.frombuffer(encode(text or ""), "<u4").tolist() == library(text)
 
 
-def test_words_are_forgotten_in_bulk(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
-    encode = Encoder(vocabulary).encode
-    text = "one two, three. four five. six one two"
-    assert np.frombuffer(encode(text), "<u4").tolist() == library(text)
+@pytest.mark.parametrize("size", [0, 1000, 20_000])
+def test_words_are_forgotten_by_their_bytes(vocabulary, library, size):
+    encoder = Encoder(vocabulary, size)
+    rnd = random.Random(4)
+    text = " ".join(rnd.choice(["one", "two,", "three.", "vier$$$", "fünf!!", "x-y", "a1b2"]) + "abcdefg"[: rnd.randrange(7)] for _ in range(2000))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text)
+    for words in (encoder.first, encoder.next):
+        kept = sum(tokens.getsizeof(w) + len(i) + tokens.ENTRY_BYTES for part in (words, words.old) for w, i in part.items())
+        assert kept <= max(size, 2000)
+    assert len(encoder.next) + len(encoder.next.old) < (20 if size < 5000 else 200)
 
 
 def test_pieces(documents, vocabulary, library, clashing):
