@@ -37,6 +37,8 @@ LABELLERS: tuple[tuple[str, int, float, float], ...] = (
     ("word_length", 5, 0.40, 0.70),
 )
 PATTERNS = 3 ** len(LABELLERS)
+WINDOW = 1000  # words
+UNTOLD = 0.55  # a length of words between the limits of a vote
 
 # Bytes as classes: lower case and anything beyond ASCII a, upper case A, digits 9, the rest itself.
 _SHAPES = bytes(
@@ -45,6 +47,8 @@ _SHAPES = bytes(
 )
 _SPACE = b" \t\n\x0b\x0c\r"
 _RUN = re.compile(rb"(.)\1+")
+_INNER = bytes(range(0x80, 0xC0))  # bytes of a sign of UTF-8 but its first
+_WIDE = bytes(range(0xE3, 0xEE))  # first bytes of kana, Chinese signs and Hangul
 _ORDINARY = b"aA9 \t\n\x0b\x0c\r.,;:'\"-?()"
 
 
@@ -57,14 +61,19 @@ class Measures:
     values: dict[str, float]
 
 
+def _window(found: list[int]) -> tuple[int, int, int]:
+    """Words, different words and different pairs of neighbours: told by the difference of their hashes, so equal neighbours are one pair."""
+    return len(found), len(set(found)), len(set(map(operator.sub, found, [0, *found[:-1]])))
+
+
 def measure(text: bytes) -> Measures:
     """Every word and line of ``text``, part by part."""
     shapes: Counter = Counter()
-    distinct: set[int] = set()
-    pairs: set[int] = set()
     lines: set[int] = set()
-    words = alike = n_lines = symbols = letters = capitals = marks = digits = visible = symbol_words = marked = 0
+    words = alike = n_lines = symbols = letters = capitals = marks = digits = visible = symbol_words = marked = points = wide = 0
     last, rest = 0, b""
+    waiting: list[int] = []
+    windows: list[tuple[int, int, int]] = []  # words, different ones, different pairs
     for part in text_parts(text):
         shaped = part.translate(_SHAPES)
         upper, numbers = shaped.count(b"A"), shaped.count(b"9")
@@ -73,34 +82,43 @@ def measure(text: bytes) -> Measures:
         letters += shaped.count(b"a") + upper
         marks += part.count(b"!")
         symbols += len(shaped.translate(None, _ORDINARY))
-        visible += len(part.translate(None, _SPACE))
+        shown = part.translate(None, _SPACE)
+        visible += len(shown)
+        points += len(shown.translate(None, _INNER))
+        wide += len(shown) - len(shown.translate(None, _WIDE))
         shapes.update(shaped.split())
         found = list(map(hash, part.split()))
         before = [last, *found[:-1]]
         alike += sum(map(operator.eq, found, before))
-        distinct.update(found)
-        pairs.update(map(operator.sub, found, before))
         last = found[-1] if found else last
         words += len(found)
-        *whole, rest = (rest + part).split(b"\n")
-        lines.update(map(hash, whole))
-        n_lines += len(whole)
+        waiting += found
+        whole = len(waiting) - len(waiting) % WINDOW
+        windows += [_window(waiting[i : i + WINDOW]) for i in range(0, whole, WINDOW)]
+        waiting = waiting[whole:]
+        *ended, rest = (rest + part).split(b"\n")
+        lines.update(map(hash, ended))
+        n_lines += len(ended)
     lines.add(hash(rest))
+    if waiting and (not windows or len(waiting) >= WINDOW // 2):
+        windows.append(_window(waiting))
+    among = max(sum(n for n, _, _ in windows), 1)
     for shape, n in shapes.items():
         odd = len(shape.translate(None, _ORDINARY))
         symbol_words += n * (odd == len(shape))
         marked += n * (odd > 0)
     many, seen = max(words, 1), max(visible, 1)
-    mean = visible / many
+    # Where most signs are those of scripts that leave no spaces, the length of words says nothing.
+    length = UNTOLD if 2 * wide > points else min(1.0, abs(np.log(max(points / many, 0.1) / 5.5)))
     return Measures(
         words,
         shapes,
         {
             "repeated_words": alike / many,
-            # Pairs of neighbours, told by the difference of their hashes.
-            "repeated_pairs": 1 - len(pairs) / many if words else 0.0,
-            # Long texts repeat more of their vocabulary; the root is what prose keeps of it at least.
-            "repeated_vocabulary": 1 - min(1.0, len(distinct) / max(many**0.75, 1)),
+            # By windows of as many words, since a longer text repeats more of its pairs and vocabulary. Of the
+            # vocabulary, prose keeps the root at least.
+            "repeated_pairs": sum(n - pairs for n, _, pairs in windows) / among,
+            "repeated_vocabulary": sum(n * (1 - min(1.0, distinct / n**0.75)) for n, distinct, _ in windows) / among,
             "symbols": symbols / seen,
             "symbol_words": symbol_words / many,
             "marked_words": marked / many,
@@ -108,7 +126,7 @@ def measure(text: bytes) -> Measures:
             "exclamations": marks / many,
             "digits": digits / seen,
             "repeated_lines": 1 - len(lines) / (n_lines + 1),
-            "word_length": min(1.0, abs(np.log(max(mean, 0.1) / 5.5))),
+            "word_length": length,
         },
     )
 
