@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from commitlens.llm.common import SPACE, ascii_lower, partitions, stored
+from commitlens.llm.common import SPACE, ascii_lower, new_folder, partitions, stored
 
 BUCKET_ROWS = 250_000  # lines for each bucket of a run, so that runs aren't many small files
 LAST = (1 << 63) - 1  # stands for a null id: such documents come after all others
@@ -87,6 +88,22 @@ def line_keys(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Da
     return keyed.select("holder", "version", "pos", F.unhex(F.md5("line")).alias("key"))
 
 
+def batch_bounds(docs: DataFrame, batches: int, id_col: str) -> list[int]:
+    """Ids that cut the documents into about equal batches, ascending."""
+    shares = [i / batches for i in range(1, batches)]
+    holder = F.coalesce(F.col(id_col), F.lit(LAST))
+    return sorted(set(docs.agg(F.percentile_approx(holder, shares, 1000)).first()[0] or []))
+
+
+def keys_by_batch(keys: DataFrame, bounds: list[int]) -> tuple[DataFrame, int]:
+    """``keys`` written once, a folder a batch, so that a batch reads nothing but its own; and the number of batches."""
+    batch = reduce(lambda n, bound: n + F.when(F.col("holder") > bound, 1).otherwise(0), bounds, F.lit(0))
+    path = new_folder(keys.sparkSession, "line-keys")
+    keys.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
+    read = keys.sparkSession.read.schema(StructType([*keys.schema.fields, StructField("batch", IntegerType())]))
+    return read.parquet(path), len(bounds) + 1
+
+
 def line_dedup(
     docs: DataFrame,
     min_chars: int = 10,
@@ -101,7 +118,7 @@ def line_dedup(
     ``min_chars`` code points stays only in the smallest document that holds it, there with all its
     lines; shorter ones always stay. Lines are told apart by the MD5 of their keys.
 
-    Documents arrive in ``batches`` of ascending id, as crawls would. Each is merge-anti-joined with
+    Ids are integers. Documents arrive in ``batches`` of ascending id, as crawls would. Each is merge-anti-joined with
     the runs of earlier lines and adds its own (``LineIndex``).
 
     A null or empty text is one empty line. Rows with a null id count as one document after all
@@ -110,15 +127,11 @@ def line_dedup(
     ``n_chars``, which follows the text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    keys = stored(line_keys(docs, min_chars, id_col, text_col), "line-keys")
-    shares = [i / batches for i in range(1, batches)]
-    bounds = keys.agg(F.percentile_approx("holder", shares, 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
+    keys, number = keys_by_batch(line_keys(docs, min_chars, id_col, text_col), batch_bounds(docs, batches, id_col))
     buckets = min(partitions(spark), max(1, -(-keys.count() // BUCKET_ROWS)))
     index = LineIndex(spark, buckets, fanout)
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        batch = keys if low is None else keys.filter(F.col("holder") > low)
-        index.add(batch if high is None else batch.filter(F.col("holder") <= high))
+    for batch in range(number):
+        index.add(keys.filter(F.col("batch") == batch))
     kept = index.holders()
     dropped = keys.join(kept.hint("merge"), "key").filter(keys["holder"] != kept["holder"])
     # Repeated rows repeat their positions, hence the set: at most one entry a line of the text.
@@ -128,7 +141,7 @@ def line_dedup(
     by_text = stored(by_text, "dropped-lines")
     index.drop()
     # The row travels as one column, so that its names can't clash with those used here.
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     rows = docs.select(
         F.struct(*own).alias("row"),
         F.coalesce(F.col(id_col), F.lit(LAST)).alias("holder"),

@@ -1,8 +1,9 @@
+import re
 from collections import defaultdict
 
 import pytest
 
-from commitlens.llm.lines import LineIndex, line_dedup, line_keys
+from commitlens.llm.lines import LineIndex, batch_bounds, keys_by_batch, line_dedup, line_keys
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -86,3 +87,16 @@ def test_a_line_of_a_third_of_all_documents(documents):
 def test_no_python_in_the_plan(documents, capsys):
     line_dedup(documents(*ROWS)).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_a_batch_reads_only_its_own_keys(documents):
+    docs = documents(*[(i, f"line number {i}\nand another one {i % 3}") for i in range(60)])
+    bounds = batch_bounds(docs, 6, "doc_id")
+    keys, number = keys_by_batch(line_keys(docs, 10, "doc_id", "text"), bounds)
+    assert number == len(bounds) + 1 == 6
+    held = [{r.holder for r in keys.filter(f"batch = {b}").collect()} for b in range(number)]
+    assert sorted(sum(map(list, held), [])) == list(range(60))
+    assert all(max(a) < min(b) for a, b in zip(held, held[1:], strict=False))
+    for b in range(number):
+        plan = keys.filter(f"batch = {b}")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"PartitionFilters: \[[^\]]*batch#\d+ = {b}\)", plan)
