@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from commitlens.llm.common import modest_batches
 
 ID = np.dtype("<u4")
-CACHE_BYTES = 64 << 20  # what a Python worker keeps of words and their ids
+CACHE_BYTES = 32 << 20  # what a Python worker keeps of words and their ids
 ENTRY_BYTES = 137  # of a word's place in a table and of its ids
 PART = 1 << 18  # characters of a long text that are encoded at once
 BATCH_BYTES = 4 << 20
