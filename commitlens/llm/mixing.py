@@ -182,7 +182,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document belongs to the block that its first word (or place, without words) lies in, so a
     source's share differs from its target by parts of single documents. Rows equal in id, source
-    and text share their copies out, in any order where other columns differ.
+    and text share their copies out, in the order of a hash of their columns (but maps).
     """
     placed, passages = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     begun = passages.filter("start = 0").groupBy(F.col("source").alias("_source"), F.col("place").alias("_place")).agg(F.count("*").alias("times"))
@@ -194,9 +194,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = counts.hint("merge").join(rows, alike).select(*key, "_times", "_rows")
     mine = [F.col("id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_src")), F.col("version") == F.col("_version")]
     # The row travels as one column, so that its names can't clash with those used here.
-    named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("version"))
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    named = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("version"),
+        F.xxhash64(*plain).alias("turn"),
+    )
     joined = named.join(counts.hint("merge"), mine)
-    nth = F.row_number().over(Window.partitionBy("_id", "_src", "_version").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_id", "_src", "_version").orderBy("turn"))
     dealt = joined.select("row", "_times", "_rows", nth.alias("nth"))
     copies = F.expr("_times div _rows + if(nth <= _times % _rows, 1, 0)")
     dealt = dealt.select("row", copies.alias("copies")).filter("copies > 0")

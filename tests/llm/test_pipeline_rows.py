@@ -1,0 +1,70 @@
+"""The pipeline on nulls, empty and very long texts, repeated rows, clashing columns and empty tables."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from commitlens.llm.common import stored
+
+
+def through(spark, docs, sf_dir=""):
+    """What each stage returns."""
+    out = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf_dir), "rows-stage")
+        out.append(docs)
+    return out
+
+
+@pytest.fixture(scope="module")
+def prose(spark):
+    """Texts of the test table that the classifier accepts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return [r.text for r in corpus_pipeline.keep_good(spark, docs, "").orderBy("doc_id").limit(40).collect()]
+
+
+def test_odd_rows(spark, documents, clashing, prose):
+    good = [(i, t, f"s{i % 3}") for i, t in enumerate(prose)]
+    long = "\n".join(f"{t} {n}" for n in range(1 + 1_500_000 // sum(map(len, prose))) for t in prose)
+    odd = [(100, None), (101, ""), (102, " \n\t"), (103, "$$$ %%% " * 50), (104, long, "s1"), (None, prose[0] + " more", None), (None, None, None)]
+    rows = [*good, *odd, *[(200, prose[1], "s1")] * 3, (3, prose[4], "s0"), (300, prose[5] + "\n" + prose[6], None)]
+    docs = clashing(documents(*rows))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    kept, lined, alone, mixed, packed = through(spark, docs)
+    assert all(t.schema.names == docs.columns for t in (kept, lined, alone, mixed))
+
+    # Texts without words and junk go, everything else stays, repeated rows as often as they occur.
+    names = Counter((r.doc_id, r.source) for r in kept.collect())
+    assert not {100, 101, 102, 103} & {i for i, _ in names}
+    assert names == Counter((r[0], r[2] if len(r) > 2 else "a") for r in rows if r[1] and r[0] not in (101, 102, 103))
+    # A line goes where a smaller id holds it; null ids come last. Rows are never lost.
+    assert Counter((r.doc_id, r.source) for r in lined.collect()) == names
+    assert {r.text for r in lined.filter("doc_id = 200").collect()} == {""}
+    # One document of each group: what is left of the copies is alike and empty.
+    left = [(r.doc_id, r.text) for r in alone.collect()]
+    assert sum(t == "" for _, t in left) <= 1 and len(left) < sum(names.values())
+    assert all(n <= 3 for n in Counter((r.doc_id, r.text) for r in mixed.collect()).values())
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= set(left)
+    # Sequences without gaps that hold every piece.
+    sequences = {}
+    for r in packed.collect():
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        assert sum(n for _, n in parts) <= 2048
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
+
+
+def test_rerun_takes_the_same_copies(spark, documents, prose):
+    """Rows that differ in another column only share their copies out the same way however they are spread."""
+    docs = documents(*[(i % 10, prose[i % 10], "s") for i in range(30)]).withColumn("lang", F.concat(F.lit("l"), F.monotonically_increasing_id() % 7))
+    one, two = (corpus_pipeline.mix_sources(spark, stored(docs.repartition(n, "lang"), "turns"), "") for n in (1, 5))
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect()))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None), (1, None), (2, "")]])
+def test_nothing_left(spark, documents, rows):
+    *_, mixed, packed = through(spark, documents(*rows))
+    assert mixed.count() == packed.count() == 0
