@@ -27,7 +27,7 @@ _NEXT, _OVER = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 class Options:
     """``sample_rows`` labelled documents, taken by a hash of their ids, are all that is fitted on."""
 
-    sample_rows: int = 50_000
+    sample_rows: int = 20_000
     shard_rows: int = 2_500  # documents that one task learns from, one after another
     epochs: int = 5
     bits: int = 18  # slots of features, as a power of two
@@ -133,28 +133,50 @@ def sample(docs: DataFrame, labels: DataFrame, options: Options, id_col: str, te
 
 _PARTS = pa.schema([("segment", pa.int32()), ("at", pa.binary()), ("z", pa.binary()), ("n", pa.binary())])
 _SHAPE = "segment int, at binary, z binary, n binary"
+_LISTS = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()))
 
 
 def _width(size: int) -> int:
     return -(-size // SEGMENTS)
 
 
-def _trainer(state: Broadcast, epoch: int, options: Options) -> Callable[[pa.Table], pa.Table]:
-    """Learns from the documents of a shard, going on from ``state``; gives the coordinates met, by segment."""
+def _written(slots: np.ndarray) -> bytes:
+    """Ascending slots as the steps between them, of two bytes where all fit."""
+    steps = np.diff(slots, prepend=slots.dtype.type(0))
+    kind = "<u2" if steps.max(initial=0) < 1 << 16 else "<u4"
+    return kind[-1].encode() + steps.astype(kind).tobytes()
 
-    def train(shard: pa.Table) -> pa.Table:
-        z, n = (x.copy() for x in state.value)
-        # Another order in each epoch, the same in every run.
-        label = np.asarray(shard.column("label"))
-        turn = np.asarray(shard.column("key")).astype(np.int64).view(np.uint64) * np.uint64(2 * epoch + 1)
-        features = shard.column("slots")
-        rows = ((np.frombuffer(features[i].as_py(), np.uint32), int(label[i])) for i in np.lexsort((label, turn)).tolist())
-        met = learn(z, n, rows, options)
-        width, segments = _width(len(z)), []
-        for s in range(SEGMENTS):
-            at = np.flatnonzero(met[s * width : (s + 1) * width])
-            segments.append((s, at.astype(np.uint32).tobytes(), z[s * width + at].tobytes(), n[s * width + at].tobytes()))
-        return pa.table(dict(zip(_PARTS.names, zip(*segments, strict=True), strict=True)), schema=_PARTS)
+
+def _read(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"<u{data[:1].decode()}", offset=1), dtype=np.int64)
+
+
+def _shard(rows: pa.Table) -> pa.Table:
+    """The documents of a shard as one row, so that an epoch shuffles none of them."""
+    order = pa.array(np.lexsort((np.asarray(rows.column("label")), np.asarray(rows.column("key")))))
+    lists = {c: pa.array([rows.column(c).take(order).to_pylist()], t) for c, t in zip(("key", "label", "slots"), _LISTS, strict=True)}
+    return pa.table({"shard": rows.column("shard")[:1].combine_chunks(), **lists})
+
+
+def _trainer(state: Broadcast, epoch: int, options: Options) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Learns from the documents of each shard, going on from ``state``; gives the coordinates met, by segment."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, n = (x.copy() for x in state.value)
+                key, label, slots = (batch.column(c)[i].values for c in ("key", "label", "slots"))
+                label = np.asarray(label)
+                # Another order in each epoch, the same in every run.
+                turn = np.asarray(key).view(np.uint64) * np.uint64(2 * epoch + 1)
+                rows = ((_read(slots[j].as_py()), int(label[j])) for j in np.lexsort((label, turn)).tolist())
+                met = learn(z, n, rows, options)
+                width, segments = _width(len(z)), []
+                for s in range(SEGMENTS):
+                    at = np.flatnonzero(met[s * width : (s + 1) * width])
+                    segments.append((s, at.astype(np.uint32).tobytes(), z[s * width + at].tobytes(), n[s * width + at].tobytes()))
+                columns = zip(zip(*segments, strict=True), _PARTS.types, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], _PARTS.names)
 
     return train
 
@@ -196,21 +218,23 @@ def fit(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            found = [slots(t.as_py(), hashes, options.bits).astype(np.uint32).tobytes() for t in batch.column(2)]
+            found = [_written(slots(t.as_py(), hashes, options.bits)) for t in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "label", "slots"])
 
-    encoded = rows.select(key, "label", "text").mapInArrow(encode, "key long, label int, slots binary")
-    encoded = stored(encoded.dropDuplicates(["key", "label"]), "features")
-    shards = -(-encoded.count() // options.shard_rows)
+    shards = -(-rows.select(key).distinct().count() // options.shard_rows)
     if not shards:
         return Model(options.bits, np.zeros(0, np.uint32), np.zeros(0), None)
+    encoded = rows.select(key, "label", "text").mapInArrow(encode, "key long, label int, slots binary")
+    encoded = encoded.dropDuplicates(["key", "label"])
     dealt = encoded.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "label", "slots")
+    packed = dealt.groupBy("shard").applyInArrow(_shard, "shard int, key array<long>, label array<int>, slots array<binary>")
+    packed = stored(packed, "shards")
 
     z, n = np.zeros(size), np.zeros(size)
     for epoch in range(options.epochs):
         state = spark.sparkContext.broadcast((z, n))
-        learnt = dealt.groupBy("shard").applyInArrow(_trainer(state, epoch, options), _SHAPE)
+        learnt = packed.mapInArrow(_trainer(state, epoch, options), _SHAPE)
         for row in learnt.groupBy("segment").applyInArrow(_merged, _SHAPE).collect():
             at = row["segment"] * width + np.frombuffer(row["at"], np.uint32).astype(np.int64)
             z[at], n[at] = np.frombuffer(row["z"]), np.frombuffer(row["n"])

@@ -165,3 +165,10 @@ def test_labels_of_held_out_documents_are_not_used(spark, tmp_path):
     assert results[0] == results[1]
     assert {r[0] for r in results[0] if r[1]} == held
     assert all(r[3] == int(r[2] >= 0.3) for r in results[0])
+
+
+@pytest.mark.parametrize("found", [[], [0], [5, 6, 70_000], [1, 2**18 - 1], list(range(0, 2**18, 97))])
+def test_slots_are_read_as_written(found):
+    from commitlens.llm import toxicity
+
+    assert toxicity._read(toxicity._written(np.array(found, np.uint32))).tolist() == found
