@@ -31,8 +31,9 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> list[Placement]:
     are updated before the next sweep. That is best-fit decreasing, piece by piece.
 
     Returns ``(length, first rank, pieces, first sequence, offset)``: pieces of consecutive ranks lie
-    in consecutive sequences. There are at most ``capacity`` runs of pieces and of gaps, whatever
-    the number of pieces.
+    in consecutive sequences. There are at most ``capacity`` lengths and sizes of gaps, whatever the
+    number of pieces; gaps of one size that were left at different times are several runs, so
+    there are a few placements for each length and size that meet (some thousands, by measurement).
     """
     placed: list[Placement] = []
     gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of sequences (first, how many)

@@ -146,8 +146,7 @@ def fit(sample: np.ndarray, count: int, radius2: float, options: Options) -> Cen
 def assigned(index: Centroids, vectors: np.ndarray, options: Options) -> np.ndarray:
     """Whether each vector goes to each of its nearest lists: ids of lists, -1 for none.
 
-    Besides its nearest list, a vector at a boundary goes to those that are nearly as near, unless
-    one that it already goes to is nearer to that list than the vector is: they lie on one side.
+    Besides its nearest list, a vector at a boundary goes to those that are nearly as near, nearest first.
     """
     points = index.widened(vectors, query=False)
     near, far = index.search(points, 4 * options.replicas)
