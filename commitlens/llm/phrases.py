@@ -195,13 +195,11 @@ def _triples(at: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> tuple[np.
     return places, _pair_hashes(found[places], hashes[at[places + 2]])
 
 
-_STRIPE = pa.struct(
-    [("lang", pa.string()), ("prefix", pa.string()), ("words", pa.int32()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
-)
-
-
 def _stripes(chunk: Chunk, pairs: np.ndarray, triples: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Counters of the next words of all prefixes of one to three words, by bucket."""
+    """Counters of the next words of all prefixes of one to three words, by bucket.
+
+    An entry is its language, in hexadecimal digits, prefix and next word; a line feed, which no word holds, ends each.
+    """
     at, hashes = chunk.at(), chunk.hashes()
     pair, _ = _pairs(at, hashes, pairs)
     triple = np.zeros(len(at), bool)
@@ -209,33 +207,45 @@ def _stripes(chunk: Chunk, pairs: np.ndarray, triples: np.ndarray, buckets: int)
     triple[places] = _may_be(triples, found)
     four = triple & np.append(triple[1:], False)
 
-    word = np.array([w.decode() for w in [b"", *chunk.words[1:]]], object)
-    names, langs, prefix = word, np.array(chunk.langs, object), at.astype(np.int64)
-    dealt, made = [], []
+    word = np.array([b"", *chunk.words[1:]], object)
+    names, prefix = np.array([lang.encode().hex().encode() + b"\n" + w for lang, w in zip(chunk.langs, word, strict=True)], object), at.astype(np.int64)
+    marks = hashes  # of prefixes
+    dealt, made, many = [], [], []
     for words, begins in ((1, pair), (2, triple), (3, four)):
         places = np.flatnonzero(begins)
         codes, number, counts = np.unique(prefix[places] << 32 | at[places + words], return_inverse=True, return_counts=True)
         before, following = codes >> 32, codes & 0xFFFFFFFF
         # A prefix's counter is cut into parts by the next word, and parts are dealt to buckets.
-        part = (hashes[following] % np.uint64(STRIPE_PARTS)).astype(np.int64)
-        order = np.lexsort((part, before))
-        first, then, part, many = before[order], following[order], part[order], counts[order]
-        new = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-        offsets = np.append(new, len(first)).astype(np.int32)
-        prefixes = names[first[new]]
-        dealt += [xxhash.xxh64_intdigest(p, s) % buckets for p, s in zip(prefixes.tolist(), part[new].tolist(), strict=True)]
-        nexts = pa.ListArray.from_arrays(offsets, pa.array(word[then], pa.string()))
-        columns = [pa.array(langs[first[new]], pa.string()), pa.array(prefixes, pa.string()), pa.array([words] * len(new), pa.int32())]
-        made.append(pa.StructArray.from_arrays([*columns, nexts, pa.ListArray.from_arrays(offsets, pa.array(many, pa.int64()))], fields=list(_STRIPE)))
+        part = hashes[following] % np.uint64(STRIPE_PARTS)
+        dealt.append((_pair_hashes(marks[before], part) >> np.uint64(20)) % np.uint64(buckets))
         # The phrases found are the prefixes of longer ones.
-        names, langs = names[before] + " " + word[following], langs[before]
+        names, marks = names[before] + b" " + word[following], _pair_hashes(marks[before], hashes[following])
+        made.append(names)
+        many.append(counts)
         prefix = np.zeros(len(at), np.int64)
         prefix[places] = number.ravel()
-    dealt = np.array(dealt, np.int32)
+    dealt, made, many = np.concatenate(dealt).astype(np.int32), np.concatenate(made), np.concatenate(many).astype(np.uint32)
     order = np.argsort(dealt, kind="stable")
     named, starts = np.unique(dealt[order], return_index=True)
-    held = pa.ListArray.from_arrays(np.append(starts, len(dealt)).astype(np.int32), pa.concat_arrays(made).take(pa.array(order)))
-    return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), held], ["bucket", "stripes"])
+    cuts = [*starts.tolist(), len(dealt)]
+    slices = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    entries = pa.array([b"\n".join(made[i].tolist()) for i in slices], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), entries, pa.array([many[i].tobytes() for i in slices], pa.binary())], ["bucket", "entries", "counts"])
+
+
+def _merged(entries: list[bytes], counts: list[bytes], least: int) -> dict[tuple[bytes, bytes], dict[bytes, int]]:
+    """Counters of the same prefix added up element by element, without what occurs less than ``least`` times."""
+    stripes: dict[tuple[bytes, bytes], dict[bytes, int]] = defaultdict(dict)
+    total: dict[tuple[bytes, bytes], int] = defaultdict(int)
+    for held, numbers in zip(entries, counts, strict=True):
+        parts = iter(held.split(b"\n"))
+        for entry, n in zip(zip(parts, parts, strict=True), np.frombuffer(numbers, np.uint32).tolist(), strict=True):
+            total[entry] += n
+    for (lang, phrase), n in total.items():
+        if n >= least:
+            prefix, _, word = phrase.rpartition(b" ")
+            stripes[lang, prefix][word] = n
+    return stripes
 
 
 def stripes(texts: DataFrame, pairs: Broadcast, triples: Broadcast, least: int, bits: int, size: int) -> DataFrame:
@@ -244,29 +254,26 @@ def stripes(texts: DataFrame, pairs: Broadcast, triples: Broadcast, least: int,
     Parts of counters from all tasks are added up element by element, in 2 ** ``bits`` buckets. A prefix
     whose counter is large has several rows with different next words.
     """
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, size):
             yield _stripes(chunk, pairs.value, triples.value, 1 << bits)
 
     def merge(table: pa.Table) -> pa.Table:
-        merged: dict[tuple, dict[str, int]] = {}
-        for piece in table.column("stripes").chunks:
-            columns = [c.to_pylist() for c in piece.flatten().flatten()]
-            for lang, prefix, words, nexts, counts in zip(*columns, strict=True):
-                stripe = merged.get((lang, prefix, words))
-                if stripe is None:
-                    merged[lang, prefix, words] = dict(zip(nexts, counts, strict=True))
-                else:
-                    for word, n in zip(nexts, counts, strict=True):
-                        stripe[word] = stripe.get(word, 0) + n
-        rows = [(*key, kept) for key, s in merged.items() if (kept := {w: n for w, n in s.items() if n >= least})]
-        columns = [*zip(*[r[:3] for r in rows], strict=True)] or [(), (), ()]
-        counters = [[list(r[3]) for r in rows], [list(r[3].values()) for r in rows]]
-        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_STRIPE, [*columns, *counters], strict=True)})
-
-    kind = "lang: string, prefix: string, words: int, nexts: array<string>, counts: array<bigint>"
-    counted = texts.mapInArrow(count, f"bucket int, stripes array<struct<{kind}>>")
-    return stored(counted.groupBy("bucket").applyInArrow(merge, kind.replace(":", "")), "stripes")
+        found = _merged(table.column("entries").to_pylist(), table.column("counts").to_pylist(), least)
+        return pa.table(
+            {
+                "lang": pa.array([bytes.fromhex(lang.decode()).decode() for lang, _ in found], pa.string()),
+                "prefix": pa.array([p for _, p in found], pa.binary()).cast(pa.string()),
+                "words": pa.array([p.count(b" ") + 1 for _, p in found], pa.int32()),
+                "nexts": pa.array([list(s) for s in found.values()], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                "counts": pa.array([list(s.values()) for s in found.values()], pa.list_(pa.int64())),
+            }
+        )
+
+    counted = texts.mapInArrow(count, "bucket int, entries binary, counts binary")
+    merged = counted.groupBy("bucket").applyInArrow(merge, "lang string, prefix string, words int, nexts array<string>, counts array<long>")
+    return stored(merged, "stripes")
 
 
 def _times(count: str, factor: int) -> Column:

@@ -59,7 +59,7 @@ def corpus(seed=4, n=400):
     rows = []
     for _ in range(n):
         text = "".join(rnd.choice(words) + rnd.choice(marks) for _ in range(rnd.randrange(1, 40)))
-        rows.append((text.replace("x y", "x y z of"), rnd.choice(["en", "en", "en", "fr", None, "und", ""])))
+        rows.append((text.replace("x y", "x y z of"), rnd.choice(["en", "en", "en", "fr", None, "und", "", "e\nn é"])))
     rows += [("one very common passage of words", "en")] * 150
     rows += [(None, "en"), ("", "fr"), (" \t ", None), ("...", "de"), ("the the the the the", "en"), ("word", "xx")]
     rnd.shuffle(rows)
