@@ -62,8 +62,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     _spread(out, starts, heads.view(np.uint8).reshape(-1, HEADER.size))
     for w in np.unique(width):
         rows = np.nonzero(width == w)[0]
-        planes = [np.packbits((above[rows] >> np.uint32(k)).astype(np.uint8) & 1, axis=1) for k in range(w)]
-        if planes:
+        if w:
+            low = above[rows].astype(np.uint16 if w <= 16 else np.uint32)
+            planes = [np.packbits(low & low.dtype.type(1 << k) != 0, axis=1) for k in range(w)]
             _spread(out, starts[rows] + HEADER.size, np.concatenate(planes, axis=1))
     body = starts + HEADER.size + width * plane
     nth = np.arange(len(row)) - (np.cumsum(count) - count)[row]
@@ -204,15 +205,15 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encode, end = encoder(vocabulary, cache_bytes).encode, np.array([end_id], ID).tobytes()
+        encode, end = encoder(vocabulary, cache_bytes).encode_all, np.array([end_id], ID).tobytes()
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         path = f"{base}/ids-{context.partitionId():05d}-{context.taskAttemptId()}.pfor"
         with store.open_output_stream(path) as out:
             writer = Writer(out)
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    writer.add(doc, encode(text.as_py() or "") + end)
+                for doc, ids in zip(batch.column(0).to_pylist(), encode([text or "" for text in batch.column(1).to_pylist()]), strict=True):
+                    writer.add(doc, ids + end)
             writer.close()
         row = [[context.partitionId()], [path], [len(writer.docs)], [writer.ids]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["part", "path", "docs", "ids"])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from sys import getsizeof
+from operator import attrgetter
+from sys import byteorder, getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,10 +23,12 @@ CACHE_BYTES = 32 << 20  # what a Python worker keeps of words and their ids
 ENTRY_BYTES = 137  # of a word's place in a table and of its ids
 PART = 1 << 18  # characters of a long text that are encoded at once
 BATCH_BYTES = 4 << 20
+TOGETHER = 4 << 20  # characters of texts whose words are looked up together
 _RUN = re.compile(r"\S(?=\s)")
 # Latin letters, the same whatever edition of Unicode the library knows, and signs of ASCII but the apostrophe.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_LED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]{1,8})")
+_LETTERS = frozenset(chr(c) for first, last in ("AZ", "az", "ÀÖ", "Øö", "øɏ") for c in range(ord(first), ord(last) + 1))
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+MOST_SIGNS = 8  # behind a word whose ids are found apart
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -53,15 +57,14 @@ class Words(dict):
         self.alphabet = byte_alphabet()
         self.mark = lead.translate(self.alphabet)
         self.signs: dict[str, bytes] = {}
-        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.single = any(map(_LETTERS.fullmatch, self.added))  # then the library looks for them in every word
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.single = any(map(_LETTERS.issuperset, added))  # then the library looks for them in every word
+        self.added = [t for t in added if _LETTERS.issuperset(t.rstrip(_SIGNS))]  # others are in no word of letters and signs behind them
 
     def ids(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        if word[0].isspace() or word[-1].isspace():
-            raise OddSpace
         found = self.old.get(word) or self._encoded(word)
         size = getsizeof(word) + len(found) + ENTRY_BYTES
         if self.held + size > self.limit:
@@ -73,25 +76,36 @@ class Words(dict):
 
     def _encoded(self, word: str) -> bytes:
         # A run of letters or of signs is one piece for the vocabulary's pattern, so the merges alone decide.
-        if _LETTERS.fullmatch(word) and not self.single:
-            return self._piece(self.mark, word)
-        led = _LED.fullmatch(word)
-        if led is None or any(t in word for t in self.added):
-            return self.ids(self.lead + word)
-        stem, signs = led.groups()
-        if signs not in self.signs:
-            if len(self.signs) >= 10_000:
-                self.signs.clear()
-            self.signs[signs] = self._piece("", signs)
-        return self[stem] + self.signs[signs]
+        stem = word.rstrip(_SIGNS)
+        if stem.isalpha() if stem.isascii() else _LETTERS.issuperset(stem):
+            if len(stem) == len(word):
+                return self.ids(self.lead + word) if self.single else self._piece(self.mark, word)
+            if len(word) - len(stem) <= MOST_SIGNS and not (self.added and any(map(word.__contains__, self.added))):
+                signs = word[len(stem) :]
+                return self[stem] + (self.signs.get(signs) or self._signs(signs))
+        if word[0].isspace() or word[-1].isspace():
+            raise OddSpace
+        return self.ids(self.lead + word)
+
+    def _signs(self, signs: str) -> bytes:
+        if len(self.signs) >= 10_000:
+            self.signs.clear()
+        self.signs[signs] = found = self._piece("", signs)
+        return found
 
     def _piece(self, mark: str, run: str) -> bytes:
         shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
-        return _packed([t.id for t in self.model.tokenize(mark + shown)])
+        return _packed(map(_ID_OF, self.model.tokenize(mark + shown)))
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+_ID_OF = attrgetter("id")
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    found = array("I", ids)
+    if byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 class Encoder:
@@ -113,10 +127,61 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._part, _parts(text)))
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each text; a word is looked up once for many of them."""
+        first = size = 0
+        for i, text in enumerate(texts):
+            if i > first and size + len(text) > TOGETHER:
+                yield from self._all(texts[first:i])
+                first, size = i, 0
+            size += len(text)
+        yield from self._all(texts[first:])
+
+    def _all(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [len(text) <= PART and _plain(text[1:] if text[:1] == " " else text) for text in texts]
+        found = self._together([text for text, p in zip(texts, plain, strict=True) if p])
+        for text, p in zip(texts, plain, strict=True):
+            ids = next(found) if p else None
+            yield self.encode(text) if ids is None else ids
+
+    def _together(self, texts: list[str]) -> Iterator[bytes | None]:
+        """Ids of texts of words between single spaces and line feeds; nothing for those with other white space about a word."""
+        if not texts:
+            return
+        # Each line begins with its line feed, a text with one more: what begins no line has a space before it.
+        parts = pc.split_pattern(pa.array([f"\n{text}".replace("\n", " \n") for text in texts], pa.string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = [self._led(word) if ids is None else ids for word, ids in zip(words, map(self.next.get, words), strict=True)]
+        odd = [i for i, ids in enumerate(known) if ids is None]
+        for i in odd:
+            known[i] = b""
+        size = np.fromiter(map(len, known), np.int64, len(known)) // ID.itemsize
+        start = np.cumsum(size) - size
+        many = size[of]
+        ends = np.cumsum(many)
+        ids = np.frombuffer(b"".join(known), ID)[np.arange(ends[-1]) + np.repeat(start[of] - (ends - many), many)]
+        bounds = parts.offsets.to_numpy()
+        strange = np.logical_or.reduceat(np.isin(of, odd), bounds[:-1]) if odd else np.zeros(len(texts), bool)
+        cuts = np.concatenate([[0], ends])[bounds].tolist()
+        lead = len(self.line_feed) // ID.itemsize
+        for a, b, without in zip(cuts, cuts[1:], strange.tolist(), strict=False):
+            yield None if without else ids[a + lead : b].tobytes()
+
+    def _led(self, word: str) -> bytes | None:
+        if not word:
+            return b""
+        try:
+            if word[0] != "\n":
+                return self.next[word]
+            return self.line_feed + self.first[word[1:]] if len(word) > 1 else self.line_feed
+        except OddSpace:
+            return None
+
     def _part(self, text: str) -> bytes:
         led = text[:1] == " "
         body = text[1:] if led else text
-        if body and not any(p in body for p in _PAIRS) and not (body[0].isspace() or body[-1].isspace()):
+        if _plain(body):
             try:
                 return self._words(body, led)
             except OddSpace:
@@ -135,6 +200,11 @@ class Encoder:
         return b"".join(out)
 
 
+def _plain(body: str) -> bool:
+    """Whether words may stand between single spaces and line feeds only."""
+    return bool(body) and not any(p in body for p in _PAIRS) and not (body[0].isspace() or body[-1].isspace())
+
+
 def _parts(text: str) -> Iterator[str]:
     start = 0
     while len(text) - start > PART:

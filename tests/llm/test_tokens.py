@@ -182,3 +182,23 @@ def test_broken_files_are_refused(tmp_path):
         path.write_bytes(broken)
         with pytest.raises(tokenfiles.FileError):
             read()
+
+
+def test_texts_encoded_together_have_the_ids_of_the_library(vocabulary, library, monkeypatch):
+    """White space of all kinds about words, signs, added tokens, long texts; whatever stands together, and a word is looked up once."""
+    rnd = random.Random(5)
+    words = ["the", "Été", "été,", "a" * 30, "it's", "x)!", "(y", "!" * 9, "end" + "." * 9, "日本", "1,5", "<|endoftext|>", "ab<|endoftext|>", "tab\tin", " led", "ed\x0b", "ß", "ſt", "Ɏ", "é"]
+    texts = [rnd.choice(["", " "]) + "".join(rnd.choice(words) + rnd.choice([" "] * 8 + ["\n"] * 3 + ["  ", "\n\n", " \n"]) for _ in range(rnd.randrange(12))).rstrip(rnd.choice(["", " ", "\n "])) for _ in range(600)]
+    texts += ["", " ", "\n", "\na", "a\n", " \na", "  a", "plain words\nand lines", " led by one space\nand lines", "long text " * 60_000]
+    want = [np.array(library(t), "<u4").tobytes() for t in texts]
+    assert list(Encoder(vocabulary).encode_all(texts)) == want
+    monkeypatch.setattr(tokens, "TOGETHER", 50)
+    assert list(Encoder(vocabulary, 20_000).encode_all(texts)) == want
+    assert list(Encoder(vocabulary).encode_all([])) == []
+    monkeypatch.undo()
+    asked = []
+    encoder = Encoder(vocabulary)
+    find = encoder._led
+    monkeypatch.setattr(encoder, "_led", lambda word: asked.append(word) or find(word))
+    list(encoder.encode_all(["one two three, four\nfive two"] * 50))
+    assert len(asked) == len(set(asked)) <= 7
