@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from commitlens.llm.common import stored
-from commitlens.llm.vectors import QUERY_BLOCK, Best, batches_of, best_of, classes, matrix, same_width, usable
+from commitlens.llm.common import modest_batches, partitions, stored
+from commitlens.llm.vectors import QUERY_BLOCK, Best, batches_of, best_of, classes, matrix, usable
+
+POINTS = 256  # points that walk the graph together
+STEP_BYTES = 32 << 20  # vectors met in a step of their walk
+ENTRIES = 1 << 19  # entries of queries that a task takes up at once
+OUT_BYTES = 8 << 20  # vectors of a batch that goes back to Spark
 
 
 @dataclass(frozen=True)
 class Options:
-    """``sample_rows`` bounds what centroids are fitted on, twice ``most_lists`` their number."""
+    """``sample_rows`` bounds what centroids are fitted on, twice ``most_lists`` their number.
+
+    ``group_bytes`` bounds the vectors of lists that a task holds at once.
+    """
 
     sample_rows: int = 20_000
     most_lists: int = 4096
@@ -27,6 +37,7 @@ class Options:
     degree: int = 16
     block_rows: int = 2048
     rounds: int = 10
+    group_bytes: int = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -58,7 +69,8 @@ class Centroids:
         """The ``width`` nearest centres found for each point, nearest first, and their distances.
 
         All points walk the graph together: each round, every point opens the nearest centres that it has
-        seen and not opened, as long as they are among its ``width`` nearest.
+        seen and not opened, as long as they are among its ``width`` nearest. What these lead to is seen in
+        steps: all links of a round would take many times the memory of the points and centres.
         """
         n, many = len(points), len(self.centers)
         width = min(width, many)
@@ -73,7 +85,10 @@ class Centroids:
             d = squares[row] + norms[column] - 2 * np.einsum("ij,ij->i", points[row], self.centers[column])
             far[row, column] = np.sqrt(np.maximum(d, 0))
 
-        see(np.repeat(np.arange(n), len(self.starts)), np.tile(self.starts, n))
+        degree = self.links.shape[1]
+        step = max(1, STEP_BYTES // (16 * degree * points.shape[1]))
+        for start in self.starts:
+            see(np.arange(n), np.full(n, start))
         while True:
             best = np.argpartition(far, width - 1, axis=1)[:, :width]
             todo = np.where(opened[rows, best], np.inf, far[rows, best])
@@ -82,7 +97,9 @@ class Centroids:
                 break
             column = best[row, at]
             opened[row, column] = True
-            see(np.repeat(row, self.links.shape[1]), self.links[column].ravel())
+            for first in range(0, len(row), step):
+                part = slice(first, first + step)
+                see(np.repeat(row[part], degree), self.links[column[part]].ravel())
         order = np.argsort(far[rows, best], axis=1, kind="stable")
         best = best[rows, order]
         return best, far[rows, best]
@@ -175,6 +192,114 @@ def selected(index: Centroids, queries: np.ndarray, k: int, options: Options) ->
         width *= 4
 
 
+def packed(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list the first group that holds it, and in how many it lies. Groups have about ``most`` rows or fewer.
+
+    Lists that follow each other come from one cluster and share a group, so that a query whose lists are
+    near each other goes to few groups. A list of more than ``most`` rows is cut into groups of its own.
+    """
+    parts = np.maximum(-(-sizes // most), 1)
+    first, groups, room = np.zeros(len(sizes), np.int64), 0, 0
+    for i, (rows, many) in enumerate(zip(sizes.tolist(), parts.tolist(), strict=True)):
+        if many > 1 or rows > room or not groups:
+            first[i], groups, room = groups, groups + many, most if many == 1 else 0
+        else:
+            first[i] = groups - 1
+        room -= rows if many == 1 else 0
+    return first, parts
+
+
+class Shelf:
+    """A group of lists in a task: the vectors by list and the ids of each."""
+
+    def __init__(self, group: int) -> None:
+        self.group = group
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.spans: dict[int, tuple[int, int, int]] = {}
+
+    def add(self, lists: pa.Array, vectors: pa.ListArray, ids: pa.ListArray) -> None:
+        """Takes rows in the order of their lists."""
+        held = np.float32 if vectors.type.value_type == pa.float32() else np.float64
+        self.parts.append((np.asarray(lists), matrix(vectors, held), np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten())))
+
+    def close(self) -> None:
+        """Makes one matrix of what was taken."""
+        if not self.parts:
+            return
+        lists, vectors, many, ids = zip(*self.parts, strict=True)
+        self.parts = []
+        self.many, self.ids = np.concatenate(many), np.concatenate(ids)
+        self.first = np.cumsum(self.many) - self.many
+        self.vectors = np.zeros((len(self.many), max(v.shape[1] for v in vectors)), vectors[0].dtype)
+        done = 0
+        for v in vectors:
+            self.vectors[done : done + len(v), : v.shape[1]] = v
+            done += len(v)
+        lists = np.concatenate(lists)
+        names, begin = np.unique(lists, return_index=True)
+        # An id may have several vectors; in how many of a list's it occurs at most.
+        owners = np.repeat(lists, self.many)
+        order = np.lexsort((self.ids, owners))
+        same = np.diff(owners[order], prepend=-1).astype(bool) | np.diff(self.ids[order], prepend=0).astype(bool)
+        runs = np.flatnonzero(same)
+        times = np.maximum.reduceat(np.diff(np.append(runs, len(order))), np.unique(owners[order][runs], return_index=True)[1])
+        self.spans = {n: (a, b, t) for n, (a, b), t in zip(names.tolist(), pairwise([*begin.tolist(), done]), times.tolist(), strict=True)}
+
+    def search(
+        self, queries: np.ndarray, row: np.ndarray, lists: np.ndarray, floors: np.ndarray, k: int, size: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query, id and score of all that may be among the ``k`` best; ``row`` of ``queries`` searches ``lists``.
+
+        ``floors`` are scores below which nothing can be among a query's ``k`` best. They are raised
+        here, and may be raised by the caller between parts.
+        """
+        order = np.argsort(lists, kind="stable")
+        row, lists = row[order], lists[order]
+        names, begin = np.unique(lists, return_index=True)
+        held, waiting = [], 0
+        for name, own in zip(names.tolist(), np.split(row, begin[1:]), strict=True):
+            low, high, times = self.spans.get(name, (0, 0, 1))
+            # A list holds no vector twice. So many ids of its best vectors are k ids besides the query's own.
+            enough = (k + 1) * times
+            for at in range(low, high, size):
+                width = min(queries.shape[1], self.vectors.shape[1])
+                scores = queries[own, :width] @ self.vectors[at : min(at + size, high), :width].T.astype(np.float64)
+                least = floors[own]
+                hit = scores >= least[:, None]
+                weights = self.many[at : min(at + size, high)]
+                found = hit.astype(np.float32) @ weights.astype(np.float32)
+                crowded = np.nonzero(found > np.where(np.isinf(least), enough, 4 * enough))[0]
+                if len(crowded):
+                    some = scores[crowded]
+                    keep = min(enough, some.shape[1])
+                    top = np.argpartition(some, some.shape[1] - keep, axis=1)[:, some.shape[1] - keep :]
+                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(some, top, axis=1), axis=1), axis=1)
+                    last = (np.cumsum(weights[top], axis=1) >= enough).argmax(axis=1)
+                    least[crowded] = some[np.arange(len(some)), top[np.arange(len(some)), last]]
+                    hit[crowded] = some >= least[crowded, None]
+                    floors[own] = least
+                at_row, column = np.nonzero(hit)
+                held.append((own[at_row], column + at, scores[at_row, column]))
+                waiting += len(at_row)
+                if waiting > ENTRIES:
+                    yield from self.members(held, floors)
+                    held, waiting = [], 0
+        yield from self.members(held, floors)
+
+    def members(self, held: list[tuple[np.ndarray, ...]], floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query, id and score for every id of the vectors found, about ``ENTRIES`` at once."""
+        if not held:
+            return
+        row, column, scores = (np.concatenate(c) for c in zip(*held, strict=True))
+        kept = scores >= floors[row]
+        row, column, scores = row[kept], column[kept], scores[kept]
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.many[column]) // ENTRIES)) + 1
+        for r, c, s in zip(*(np.split(x, cuts) for x in (row, column, scores)), strict=True):
+            each = self.many[c]
+            nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            yield np.repeat(r, each), self.ids[np.repeat(self.first[c], each) + nth], np.repeat(s, each)
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -186,10 +311,12 @@ def nearest(
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each query, by inner product.
 
     Every vector is indexed: the centres of the lists are fitted on at most ``sample_rows`` vectors,
-    taken by hash, and each vector goes to up to ``replicas`` lists. Lists longer than ``block_rows``
-    are cut into blocks, so no list is too long for a task. A query searches the lists that the
-    distance ratio selects; scores are inner products of the original vectors in double precision.
-    A query doesn't find rows with its own id; if there are at most ``k`` others, it finds all.
+    taken by hash, and each vector goes to up to ``replicas`` lists. Lists lie in groups of at most
+    ``group_bytes``; a longer list is cut, so no list is too long for a task. A query searches the lists
+    that the distance ratio selects, and goes once to each group that holds some of them. A task holds
+    one group, ``block_rows`` of whose vectors meet a block of queries at once. Scores are inner products of
+    the original vectors in double precision. A query doesn't find rows with its own id; if there are at
+    most ``k`` others, it finds all.
 
     Equal vectors are one class with its ``k + 1`` smallest ids, so copies fill no list. Vectors that are
     null, empty, zero or hold null or non-finite components, and null ids, take no part; components
@@ -197,82 +324,100 @@ def nearest(
     table gives an empty result. Centres and graph, at most ``2 * most_lists`` rows, go to every task.
     """
     spark = vectors.sparkSession
+    modest_batches(spark)
+    narrow = all(df.schema[vector_col].dataType == ArrayType(FloatType(), df.schema[vector_col].dataType.containsNull) for df in (vectors, queries))
+    kind = "array<float>" if narrow else "array<double>"
 
     def clean(rows: DataFrame) -> DataFrame:
         vector = F.col(vector_col)
         rows = rows.filter(usable(vector) & F.exists(vector, lambda x: x != 0) & F.col(id_col).isNotNull())
-        return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+        return rows.select(F.col(id_col).cast("long").alias("id"), vector.cast(kind).alias("vector"))
 
     held = stored(classes(clean(vectors), k + 1), "classes")
     asked = stored(clean(queries).distinct(), "queries")
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    exact = F.col("vector").cast("array<double>")
+    square = F.aggregate(exact, F.lit(0.0), lambda a, x: a + x * x)
     count, radius2, width = held.agg(F.count("*"), F.max(square), F.max(F.size("vector"))).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not count:
         return empty
-    taken = held.orderBy(F.xxhash64("vector")).limit(options.sample_rows).select("vector").toArrow()
+    taken = held.orderBy(F.xxhash64(exact)).limit(options.sample_rows).select("vector").toArrow()
     sample = matrix(taken.column(0).combine_chunks())
     sample = np.hstack([sample, np.zeros((len(sample), width - sample.shape[1]))])
     index = fit(sample, count, radius2, options)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, POINTS):
+                part = batch.slice(first, POINTS)
                 lists = assigned(index, matrix(part.column(0)), options)
                 row, at = np.nonzero(lists >= 0)
                 columns = [pa.array(lists[row, at]), *[c.take(pa.array(row)) for c in part.columns]]
                 yield pa.RecordBatch.from_arrays(columns, ["list", "vector", "ids"])
 
-    postings = stored(held.select("vector", "ids").mapInArrow(assign, "list long, vector array<double>, ids array<long>"), "postings")
+    postings = stored(held.select("vector", "ids").mapInArrow(assign, f"list long, vector {kind}, ids array<long>"), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
     index.sizes[list(sizes)] = list(sizes.values())
-    cuts = F.create_map(*[F.lit(x) for i, n in sorted(sizes.items()) for x in (i, -(-n // options.block_rows))])
-    block = F.pmod(F.xxhash64("vector"), cuts[F.col("list")]).alias("block")
-    lists = postings.groupBy("list", block).agg(F.collect_list(F.struct("vector", "ids")).alias("rows"))
-    lists = lists.select("list", F.col("rows.vector").alias("vector"), F.col("rows.ids").alias("ids"))
+    # Two groups for each task, or more where a task couldn't hold them: queries are sent once to each.
+    even = max(-(-sum(sizes.values()) // (2 * partitions(spark))), options.block_rows)
+    firsts, parts = packed(index.sizes, max(1, min(even, options.group_bytes // (8 * width))))
+    places = spark.createDataFrame([(i, *p) for i, p in enumerate(zip(firsts.tolist(), parts.tolist(), strict=True))], "list long, first long, parts long")
+    group = F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts"))
+    lists = postings.join(F.broadcast(places), "list").select(group.alias("group"), F.lit(0).alias("kind"), F.col("list").alias("one"), "vector", F.col("ids").alias("many"))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, OUT_BYTES // (8 * width))
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, POINTS):
+                part = batch.slice(first, POINTS)
                 found = selected(index, matrix(part.column(1)), k, options)
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                columns = [pa.array(np.concatenate(found).astype(np.int64)), *[c.take(pa.array(row)) for c in part.columns]]
-                yield pa.RecordBatch.from_arrays(columns, ["list", "id", "vector"])
-
-    dealt = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK)))).alias("dealt")
-    probes = asked.mapInArrow(select, "list long, id long, vector array<double>")
-    probes = probes.groupBy("list", dealt).agg(F.collect_list(F.struct("vector", "id")).alias("rows"))
-    probes = probes.select("list", F.col("rows.vector").alias("query"), F.col("rows.id").alias("query_id"))
+                row, lists = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+                # A list that was cut lies in several groups.
+                each = parts[lists]
+                row, lists, nth = np.repeat(row, each), np.repeat(lists, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                group = firsts[lists] + nth
+                order = np.lexsort((group, row))
+                row, lists, group = row[order], lists[order], group[order]
+                begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (group[1:] != group[:-1])]))
+                ends = np.append(begin, len(row))
+                for at in range(0, len(begin), size):
+                    some, offsets = begin[at : at + size], ends[at : at + size + 1]
+                    asked_lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(lists[offsets[0] : offsets[-1]]))
+                    columns = [pa.array(group[some]), pa.array(np.ones(len(some), np.int32)), *[c.take(pa.array(row[some])) for c in part.columns], asked_lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["group", "kind", "one", "vector", "many"])
+
+    # Queries are few and searches long: they are dealt out anew.
+    probes = asked.repartition(partitions(spark), "id").mapInArrow(select, f"group long, kind int, one long, vector {kind}, many array<long>")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        best = Best(k)
+        """Of each group come the rows of its lists, then the queries."""
+        best, shelf = Best(k), Shelf(-1)
         for batch in batches:
-            for q, qid, v, ids in zip(*batch.columns, strict=True):
-                left, right = same_width(matrix(q.values), matrix(v.values))
-                scores = left @ right.T
-                names = np.asarray(qid.values)
-                at = best.places(names)
-                # Of each query the k + 1 best classes, unless better ones are known: one may be its own.
-                keep = min(k + 1, scores.shape[1])
-                last = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                row, column = np.nonzero(scores >= np.maximum(last, best.floors[at])[:, None])
-                members = ids.values
-                many = np.diff(np.asarray(members.offsets))
-                first = np.asarray(members.offsets)[:-1] - np.asarray(members.offsets)[0]
-                each = many[column]
-                row, column = np.repeat(row, each), np.repeat(column, each)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                found = np.asarray(members.flatten())[first[column] + nth]
-                other = found != names[row]
-                row, column, found = row[other], column[other], found[other]
-                best.add(at[row], found, scores[row, column])
-                if best.full:
-                    yield best.give()
+            groups, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            ends = np.flatnonzero((groups[1:] != groups[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for low, high in pairwise([0, *ends.tolist(), batch.num_rows] if batch.num_rows else []):
+                if shelf.group != groups[low]:
+                    shelf = Shelf(groups[low])
+                if kinds[low] == 0:
+                    shelf.add(*batch.slice(low, high - low).columns[2:])
+                    continue
+                shelf.close()
+                for first in range(low, high, QUERY_BLOCK):
+                    names, queries, asked_lists = batch.slice(first, min(QUERY_BLOCK, high - first)).columns[2:]
+                    names = np.asarray(names)
+                    at = best.places(names)
+                    floors = best.floors[at]
+                    row = np.repeat(np.arange(len(names)), np.diff(np.asarray(asked_lists.offsets)))
+                    for row, found, scores in shelf.search(matrix(queries), row, np.asarray(asked_lists.flatten()), floors, k, options.block_rows):
+                        other = found != names[row]
+                        best.add(at[row[other]], found[other], scores[other])
+                        np.maximum(floors, best.floors[at], out=floors)
+                    np.maximum.at(best.floors, at, floors)
+                    if best.full:
+                        yield best.give()
         yield best.give()
 
-    met = probes.join(lists, "list").select("query", "query_id", "vector", "ids")
+    met = lists.unionAll(probes).repartition(partitions(spark), "group").sortWithinPartitions("group", "kind", "one")
     found = met.mapInArrow(lambda b: batches_of(score(b), ["query_id", "vec_id", "score"]), "query_id long, vec_id long, score double")
     # A vector in several lists of a query is found in each.
     return best_of(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

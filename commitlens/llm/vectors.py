@@ -70,6 +70,22 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     )
 
 
+def best_rows(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best entries of each of ``at``, best first, ties to smaller ids.
+
+    An entry met in several lists counts once, though its score may differ in the last bit.
+    """
+    order = np.lexsort((-scores, ids, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
+    at, ids, scores = at[new], ids[new], scores[new]
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[kept], ids[kept], scores[kept]
+
+
 class Best:
     """The ``k`` best entries of each query that a task has seen so far, ties to smaller ids.
 
@@ -96,27 +112,19 @@ class Best:
         return at
 
     def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        self.held.append((at, ids, scores))
-        self.rows += len(at)
+        self.hold(*best_rows(at, ids, scores, self.k))
         if self.rows > self.most_rows:
             self.shrink()
 
+    def hold(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        last = np.arange(len(at)) - np.searchsorted(at, at) == self.k - 1
+        self.floors[at[last]] = np.maximum(self.floors[at[last]], scores[last])
+        self.held.append((at, ids, scores))
+        self.rows += len(at)
+
     def shrink(self) -> None:
-        at, ids, scores = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        # An entry met in several lists counts once, though its score may differ in the last bit.
-        order = np.lexsort((-scores, ids, at))
-        at, ids, scores = at[order], ids[order], scores[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
-        at, ids, scores = at[new], ids[new], scores[new]
-        order = np.lexsort((ids, -scores, at))
-        at, ids, scores = at[order], ids[order], scores[order]
-        rank = np.arange(len(at)) - np.searchsorted(at, at)
-        last = rank == self.k - 1
-        self.floors[at[last]] = scores[last]
-        kept = rank < self.k
-        self.held = [(at[kept], ids[kept], scores[kept])]
-        self.rows = int(kept.sum())
+        held, self.held, self.rows = self.held, [], 0
+        self.hold(*best_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), self.k))
 
     @property
     def full(self) -> bool:
