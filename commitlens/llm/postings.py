@@ -69,40 +69,52 @@ class Centroids:
         """The ``width`` nearest centres found for each point, nearest first, and their distances.
 
         All points walk the graph together: each round, every point opens the nearest centres that it has
-        seen and not opened, as long as they are among its ``width`` nearest. What these lead to is seen in
-        steps: all links of a round would take many times the memory of the points and centres.
+        seen and not opened, as long as they are among its ``width`` nearest. Only these are held and compared with
+        what the round adds. Links are seen in steps: all of a round would take many times the memory of the centres.
         """
-        n, many = len(points), len(self.centers)
+        n, many, degree = len(points), len(self.centers), self.links.shape[1]
         width = min(width, many)
         squares, norms = (points**2).sum(axis=1), (self.centers**2).sum(axis=1)
-        far = np.full((n, many), np.inf)
-        opened = np.zeros((n, many), bool)
-        rows = np.arange(n)[:, None]
+        seen = np.full((n, many), -1, np.int32)
+        step = max(1, STEP_BYTES // (16 * degree * points.shape[1]))
 
-        def see(row: np.ndarray, column: np.ndarray) -> None:
-            new = np.isinf(far[row, column])
+        def see(row: np.ndarray, column: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, ...]:
+            new = seen[row, column] < 0
             row, column = row[new], column[new]
+            nth = np.arange(len(row), dtype=np.int32)
+            seen[row, column] = nth
+            once = seen[row, column] == nth
+            row, column = row[once], column[once]
             d = squares[row] + norms[column] - 2 * np.einsum("ij,ij->i", points[row], self.centers[column])
-            far[row, column] = np.sqrt(np.maximum(d, 0))
-
-        degree = self.links.shape[1]
-        step = max(1, STEP_BYTES // (16 * degree * points.shape[1]))
-        for start in self.starts:
-            see(np.arange(n), np.full(n, start))
+            d = np.sqrt(np.maximum(d, 0))
+            near = d < worst[row]
+            return row[near], column[near], d[near]
+
+        seen[:, self.starts] = 0
+        best = np.tile(self.starts, (n, 1))
+        far = squares[:, None] + norms[self.starts] - 2 * np.einsum("ij,kj->ik", points, self.centers[self.starts])
+        far, opened = np.sqrt(np.maximum(far, 0)), np.zeros(far.shape, bool)
         while True:
-            best = np.argpartition(far, width - 1, axis=1)[:, :width]
-            todo = np.where(opened[rows, best], np.inf, far[rows, best])
-            row, at = np.nonzero(np.isfinite(todo))
+            if far.shape[1] > width:
+                nearest = np.argpartition(far, width - 1, axis=1)[:, :width]
+                best, far, opened = (np.take_along_axis(x, nearest, axis=1) for x in (best, far, opened))
+            row, at = np.nonzero(np.isfinite(far) & ~opened)
             if not len(row):
                 break
-            column = best[row, at]
-            opened[row, column] = True
-            for first in range(0, len(row), step):
-                part = slice(first, first + step)
-                see(np.repeat(row[part], degree), self.links[column[part]].ravel())
-        order = np.argsort(far[rows, best], axis=1, kind="stable")
-        best = best[rows, order]
-        return best, far[rows, best]
+            opened[row, at] = True
+            column, held = best[row, at], far.shape[1]
+            worst = far.max(axis=1) if held == width else np.full(n, np.inf)
+            parts = [slice(first, first + step) for first in range(0, len(row), step)]
+            found = [see(np.repeat(row[part], degree), self.links[column[part]].ravel(), worst) for part in parts]
+            row, column, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            # Rows come in order, so an entry's place is its distance from the first of its point.
+            more = np.bincount(row, minlength=n)
+            at = held + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
+            room = ((0, 0), (0, int(more.max())))
+            best, far, opened = np.pad(best, room), np.pad(far, room, constant_values=np.inf), np.pad(opened, room)
+            best[row, at], far[row, at] = column, d
+        order = np.argsort(far, axis=1, kind="stable")
+        return np.take_along_axis(best, order, axis=1), np.take_along_axis(far, order, axis=1)
 
 
 def clustered(points: np.ndarray, parts: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -187,7 +199,7 @@ def selected(index: Centroids, queries: np.ndarray, k: int, options: Options) ->
         # Lists before this one hold fewer rows than k vectors in all their replicas might take.
         before = np.cumsum(index.sizes[near], axis=1) - index.sizes[near]
         wanted = (far <= options.ratio * far[:, :1]) | (before < (k + 1) * options.replicas)
-        if near.shape[1] == len(index.centers) or not wanted[:, -1].any():
+        if width >= len(index.centers) or not wanted[:, -1].any():
             return [row[keep] for row, keep in zip(near, wanted, strict=True)]
         width *= 4
 
